@@ -73,7 +73,7 @@ def _lookup(pairs: dict[str, int], key: Column) -> Column:
 
 def _fields(stamp: Column) -> Column:
     """The eleven fields of the first pattern that matches the whole stamp, else null."""
-    text = F.trim(F.regexp_replace(stamp, r"[\s    ﻿]+", " "))
+    text = F.trim(F.regexp_replace(stamp, r"[\s\p{Z}\p{Cf}]+", " "))
     cases = [(text.rlike(p), F.regexp_replace(text, p, out)) for _, p, out in CASCADE]
     picked = reduce(lambda acc, c: acc.when(*c), cases[1:], F.when(*cases[0]))
     return F.split(picked, r"\|")
