@@ -159,7 +159,8 @@ def _jaro_winkler(s: str, t: str) -> float:
         return 0.0
     right = [y for y, k in zip(t, taken) if k]
     m = len(left)
-    jaro = (m / len(s) + m / len(t) + (m - sum(x != y for x, y in zip(left, right)) / 2) / m) / 3
+    swapped = sum(x != y for x, y in zip(left, right)) // 2
+    jaro = (m / len(s) + m / len(t) + (m - swapped) / m) / 3
     prefix = 0
     for x, y in zip(s[:4], t[:4]):
         if x != y:
