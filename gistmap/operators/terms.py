@@ -185,6 +185,31 @@ def _merger(accepted):
     return merge
 
 
+def phrase_segmenter(phrases, longest: int = 3):
+    """Replace runs of neighbouring words by known phrases, the longest first, left to right."""
+
+    def one(items, known):
+        out, i = [], 0
+        while i < len(items):
+            for k in range(min(longest, len(items) - i), 1, -1):
+                run = items[i : i + k]
+                if all(run[j]["pos"] == run[0]["pos"] + j for j in range(k)) and " ".join(r["token"] for r in run) in known:
+                    out.append(" ".join(r["token"] for r in run))
+                    i += k
+                    break
+            else:
+                out.append(items[i]["token"])
+                i += 1
+        return out
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        known = phrases.value
+        return s.map(lambda items: one(items, known))
+
+    return run
+
+
 def detect_phrases(turns: DataFrame, stop: list[str], c: Phrases = Phrases()) -> DataFrame:
     """(phrase, count, npmi): pairs that occur together, merged greedily and counted again up to ``max_words`` words."""
     toks = tokens(turns, stop)

@@ -30,7 +30,7 @@ def vectors(raw: DataFrame) -> DataFrame:
     one = raw.where(F.size("embedding") > 0).groupBy("segment_id").agg(F.min("embedding").alias("e"))
     sq = F.aggregate("e", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     one = one.withColumn("n", F.sqrt(sq)).where("n > 0")
-    return one.select("segment_id", F.transform("e", lambda x: x.cast("double") / F.col("n")).alias("v"))
+    return one.select("segment_id", F.transform("e", lambda x: F.try_divide(x.cast("double"), F.col("n"))).alias("v"))
 
 
 def load(spark, d: str) -> dict[str, DataFrame]:

@@ -462,3 +462,52 @@ def prj_is_tangent(spark, d):
 def snk_report(spark, d):
     """Review figures of the segmentation."""
     return load(spark, d)["segments"].groupBy("boundary_type", "label").agg(F.count("*").alias("segments"), F.sum("word_count").alias("words"))
+
+
+@query(_CUTS + "SELECT chat_id || '::seg' || seg_index AS segment_id, start_turn, end_turn, end_turn - start_turn AS turn_count, coalesce(boundary_type, 'none') AS boundary_type FROM bnd")
+def ml_segment_chat(spark, d):
+    """Segments of the pseudo-chats made of embeddings, with ids."""
+    b = S.bounds(*_cuts(spark, d))
+    return b.select(
+        F.concat(F.col("chat_id").cast("string"), F.lit("::seg"), "seg_index").alias("segment_id"), "start_turn", "end_turn",
+        (F.col("end_turn") - F.col("start_turn")).alias("turn_count"), F.coalesce("boundary_type", F.lit("none")).alias("boundary_type"),
+    )
+
+
+@query(q("SELECT segment_id FROM segs WHERE label = 'core'"))
+def prj_tangent_core(spark, d):
+    return load(spark, d)["segments"].where("label = 'core'").select("segment_id")
+
+
+@query()
+def fn_embed_long_text(spark, d):
+    """Mean of the chunk vectors of each document, normalised (norm and largest component)."""
+    from gistmap.operators.embedding import embed_texts
+
+    chunks = fn_split_chunks(spark, d)
+    v = embed_texts(chunks, "text").select("doc_id", F.posexplode("v").alias("k", "x")).groupBy("doc_id", "k").agg(F.avg("x").alias("x"))
+    return v.groupBy("doc_id").agg(F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 6).alias("norm"), F.max_by("k", F.abs("x")).alias("largest"))
+
+
+@query()
+def fn_embed_window(spark, d):
+    """Vectors of the windows of two turns (number of components that are not zero)."""
+    from gistmap.operators.embedding import embed_texts
+
+    w = embed_texts(S.sliding_texts(load(spark, d)["turns"], 2), "text")
+    return w.select("chat_id", "i", F.size(F.filter("v", lambda x: x != 0)).alias("active"))
+
+
+@query()
+def snk_conversations(spark, d):
+    """Turns written as Parquet and read back."""
+    from gistmap.runtime import scratch_table
+
+    return scratch_table(load(spark, d)["turns"], "turns")
+
+
+@query()
+def snk_segments(spark, d):
+    from gistmap.runtime import scratch_table
+
+    return scratch_table(load(spark, d)["segments"], "segments")

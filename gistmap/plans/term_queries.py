@@ -415,6 +415,17 @@ def flt_min_npmi(spark, d):
     return K.scored_bigrams(_toks(spark, d)).where((F.col("n") >= 5) & (F.round("npmi", 9) >= 0.55)).select(F.concat_ws(" ", "a", "b").alias("phrase"), F.col("n").alias("count"))
 
 
+@query(f"{_TOK} SELECT a, b, n FROM sc WHERE n >= 5")
+def flt_min_pair(spark, d):
+    return K.scored_bigrams(_toks(spark, d)).where("n >= 5").select("a", "b", "n")
+
+
+@query(f"{_TOK} SELECT a || ' ' || b AS phrase FROM sc WHERE n >= 5 AND len(string_split(a || ' ' || b, ' ')) <= 3")
+def flt_max_words(spark, d):
+    p = K.scored_bigrams(_toks(spark, d)).where("n >= 5").select(F.concat_ws(" ", "a", "b").alias("phrase"))
+    return p.where(F.size(F.split("phrase", " ")) <= 3)
+
+
 _PH = "ph AS (SELECT term AS phrase, count(*) AS count FROM terms GROUP BY term)"
 _KEPTPH = "SELECT p.phrase, p.count FROM ph p WHERE NOT EXISTS (SELECT 1 FROM ph l WHERE l.phrase <> p.phrase AND contains(' ' || l.phrase || ' ', ' ' || p.phrase || ' ') AND l.count >= 0.85 * p.count)"
 
@@ -667,3 +678,69 @@ def smp_seeded(spark, d):
     return load(spark, d)["segments"].select("segment_id").orderBy(F.xxhash64("segment_id", F.lit(42)), "segment_id").limit(10)
 
 
+
+
+@query()
+def fn_embed_terms(spark, d):
+    """Each distinct term encoded once (number of components that are not zero)."""
+    from gistmap.operators.embedding import embed_texts
+
+    v = embed_texts(_t(spark, d).select("term").distinct(), "term")
+    return v.select("term", F.size(F.filter("v", lambda x: x != 0)).alias("active"))
+
+
+@query()
+def fn_merge_sequence(spark, d):
+    """Turns after the first merge pass: how many tokens are merged pairs."""
+    toks = _toks(spark, d)
+    ok = K.scored_bigrams(toks).where((F.col("n") >= 5) & (F.col("npmi") >= 0.55)).select("a", "b").limit(K.MAX_PAIRS).collect()
+    accepted = spark.sparkContext.broadcast({(r[0], r[1]) for r in ok})
+    seq = toks.groupBy("chat_id", "turn_index").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("s"))
+    merged = seq.withColumn("s", K._merger(accepted)("s"))
+    return merged.select("chat_id", "turn_index", F.size("s").alias("tokens"), F.size(F.filter("s", lambda x: x["token"].contains(" "))).alias("merged"))
+
+
+@query()
+def fn_segment_with_phrases(spark, d):
+    """Turns with runs of words replaced by known phrases, longest first."""
+    phrases = [r[0] for r in ml_phrases(spark, d).select("phrase").limit(K.MAX_PAIRS).collect()]
+    toks = _toks(spark, d)
+    seq = toks.groupBy("chat_id", "turn_index").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("s"))
+    return seq.select("chat_id", "turn_index", K.phrase_segmenter(spark.sparkContext.broadcast(frozenset(phrases)))("s").alias("units"))
+
+
+@query(f"{_TOK} SELECT DISTINCT token, {_W.replace('term', 'token')} AS lemma FROM toks")
+def fn_normalize_lemma(spark, d):
+    """Rule-based lemmas of the content words."""
+    return _toks(spark, d).select("token", X.singular(F.col("token")).alias("lemma")).distinct()
+
+
+@query("SELECT DISTINCT term, array_to_string(list_transform(string_split(regexp_replace(term, '^(?:the|a|an) ', ''), ' '), lambda w: CASE WHEN regexp_matches(w, '^.{2,}ies$') THEN regexp_replace(w, 'ies$', 'y') WHEN regexp_matches(w, '(?:ss|us|is)$') THEN w WHEN regexp_matches(w, '^.{3,}s$') THEN regexp_replace(w, 's$', '') ELSE w END), ' ') AS phrase FROM terms")
+def fn_normalize_phrase(spark, d):
+    """Terms without a leading article, every word as its lemma."""
+    t = _t(spark, d).select("term").distinct()
+    return t.select("term", F.array_join(F.transform(F.split(F.regexp_replace("term", "^(?:the|a|an) ", ""), " "), X.singular), " ").alias("phrase"))
+
+
+@query(f"SELECT DISTINCT term, w AS noun FROM (SELECT term, unnest(string_split(term, ' ')) AS w FROM terms) WHERE w NOT IN ({', '.join(repr(w) for w in STOP)}) AND length(w) >= 2")
+def fn_content_nouns(spark, d):
+    t = _t(spark, d).select("term", F.explode(F.split("term", " ")).alias("noun"))
+    return t.where(~F.col("noun").isin(STOP) & (F.length("noun") >= 2)).distinct()
+
+
+@query()
+def ml_extract_keywords(spark, d):
+    """Word-level keywords of every chat: content words and phrases, condensed and ranked (the best ten)."""
+    toks = _toks(spark, d).select("chat_id", F.col("token").alias("term"))
+    c = toks.groupBy("chat_id", "term").agg(F.count("*").alias("count"))
+    c = K.drop_modifier_singletons(K.merge_lemmas(c, ["chat_id"]))
+    w = Window.partitionBy("chat_id").orderBy(F.desc("count"), "term")
+    return c.withColumn("place", F.row_number().over(w)).where("place <= 10").select("chat_id", "place", "term", "count")
+
+
+@query()
+def ml_extract_corpus(spark, d):
+    """Keywords of all segments under corpus-wide canonical names."""
+    m = ml_canonical_map(spark, d)
+    ranked = ml_rank(spark, d)
+    return K.apply_map(ranked, m).groupBy("segment_id", "term").agg(F.max("score").alias("score"))
