@@ -175,8 +175,10 @@ def _inside(text: str, start: int, stop: int, parent: Node) -> None:
         at = max(m.end(), m.start() + 1)
 
 
-def _edge(parent: Node) -> str:
-    """The type of the edges to a node's children."""
+def _edge(parent: Node, child: Node) -> str:
+    """The type of the edge to a child."""
+    if parent.type == "tag" and parent.name == "pre" and child.type == "tag" and child.name == "code":
+        return "wrap"
     if parent.type == "fence" or (parent.type == "tag" and parent.name in ("pre", "code", "script", "style", "kbd", "samp", "tt")):
         return "code"
     return "flow" if parent.type != "root" else "root"
@@ -205,12 +207,12 @@ class TreeModel:
             root = parse(text)
             for n in nodes_of(root)[1:]:
                 n.label = next((label for a, b, label in spans if a <= n.start < b), PLAIN)
-                if n.parent.type != "root" and _edge(n.parent) == "code" and n.parent.label in (MARKUP, CODE) and not (n.type == "tag" and n.name in ("code", "pre")):
+                if n.parent.type != "root" and _edge(n.parent, n) == "code" and n.parent.label in (MARKUP, CODE) and not (n.type == "tag" and n.name in ("code", "pre")):
                     n.label = CODE
                 self.shapes.setdefault(n.shape, np.full(3, 0.2))[n.label] += 1
                 self.types.setdefault(n.type, np.full(3, 0.2))[n.label] += 1
                 up = MARKUP if n.parent.type == "root" else n.parent.label
-                self.edges.setdefault(_edge(n.parent), np.full((3, 3), 0.2))[up, n.label] += 1
+                self.edges.setdefault(_edge(n.parent, n), np.full((3, 3), 0.2))[up, n.label] += 1
         # an edge tells how far the child's label leaves what its shapes alone would give
         total = sum(self.types.values())
         self._edge_table = {k: (v / v.sum(axis=1, keepdims=True)) / (total / total.sum()) for k, v in self.edges.items()}
@@ -230,7 +232,7 @@ class TreeModel:
         up: dict[int, np.ndarray] = {}
         below = {id(n): own[id(n)].copy() for n in order}
         for n in reversed(order[1:]):
-            table = self._edge_table.get(_edge(n.parent), np.ones((3, 3)))
+            table = self._edge_table.get(_edge(n.parent, n), np.ones((3, 3)))
             m = table @ below[id(n)]
             up[id(n)] = m / m.sum()
             v = below[id(n.parent)] * up[id(n)]
@@ -238,7 +240,7 @@ class TreeModel:
         full = {id(root): below[id(root)]}
         for n in order[1:]:
             rest = full[id(n.parent)] / up[id(n)]
-            v = below[id(n)] * (rest @ self._edge_table.get(_edge(n.parent), np.ones((3, 3))))
+            v = below[id(n)] * (rest @ self._edge_table.get(_edge(n.parent, n), np.ones((3, 3))))
             v = v / v.sum()
             full[id(n)] = v
             n.label = int(v.argmax())
