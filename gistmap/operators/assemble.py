@@ -33,7 +33,7 @@ def v3_tables(segments: DataFrame, tops: DataFrame, platforms: DataFrame, placed
         "word_count", (F.col("label") == "tangent").alias("is_tangent"), F.col("concept_id").alias("conversation_concept_id"), F.col("domain_id").alias("macro_domain_id"),
     )
     vote = majority(placed.where("concept is not null and domain is not null").select("concept", "domain", "segment_id")).join(did, "domain", "left").select("concept", F.col("domain_id").alias("macro_domain_id"))
-    mean = [F.round(F.avg(c), 9).alias(c) for c in ("x", "y", "z")]
+    mean = [F.avg(c).alias(c) for c in ("x", "y", "z")]
     concepts = placed.where("concept is not null").groupBy("concept").agg(*mean, F.count("*").alias("segment_count"))
     concepts = concepts.join(cid, "concept").join(vote, "concept", "left").select(F.col("concept_id").alias("id"), F.col("concept").alias("label"), "x", "y", "z", "segment_count", "macro_domain_id")
     domains = placed.where("domain is not null").groupBy("domain").agg(*mean, F.count("*").alias("segment_count"))

@@ -383,11 +383,11 @@ _OUT = f""", {_PLAT}, lay AS (SELECT id AS segment_id, min(x) AS x, min(y) AS y,
 top AS (SELECT segment_id, arg_max(term, (score, -pos)) AS top FROM terms GROUP BY segment_id),
 cid AS (SELECT label, CASE WHEN k = 1 THEN slug ELSE slug || '-' || k END AS id FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY label) AS k FROM (SELECT DISTINCT concept AS label, {_SLUG.format('concept')} AS slug FROM lay WHERE concept IS NOT NULL))),
 did AS (SELECT label, CASE WHEN k = 1 THEN slug ELSE slug || '-' || k END AS id FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY label) AS k FROM (SELECT DISTINCT domain AS label, {_SLUG.format('domain')} AS slug FROM lay WHERE domain IS NOT NULL))),
-o_seg AS (SELECT s.segment_id AS id, coalesce(top, '') AS label, s.chat_id, coalesce(platform, 'unknown') AS platform, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, s.word_count, s.label = 'tangent' AS is_tangent, c.id AS conversation_concept_id, d.id AS macro_domain_id
+o_seg AS (SELECT s.segment_id AS id, coalesce(top, '') AS label, s.chat_id, coalesce(platform, 'unknown') AS platform, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, s.word_count, s.label = 'tangent' AS is_tangent, c.id AS conversation_concept_id, d.id AS macro_domain_id
   FROM segs s JOIN lay USING (segment_id) LEFT JOIN top USING (segment_id) LEFT JOIN pl ON pl.chat_id = s.chat_id LEFT JOIN cid c ON c.label = concept LEFT JOIN did d ON d.label = domain),
 vote AS (SELECT concept, domain FROM (SELECT concept, domain, row_number() OVER (PARTITION BY concept ORDER BY n DESC, f) AS k FROM (SELECT concept, domain, count(*) AS n, min(segment_id) AS f FROM lay WHERE concept IS NOT NULL AND domain IS NOT NULL GROUP BY ALL)) WHERE k = 1),
-o_con AS (SELECT c.id, concept AS label, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, segment_count, d.id AS macro_domain_id FROM (SELECT concept, avg(x) AS x, avg(y) AS y, avg(z) AS z, count(*) AS segment_count FROM lay WHERE concept IS NOT NULL GROUP BY concept) g JOIN cid c ON c.label = concept LEFT JOIN vote USING (concept) LEFT JOIN did d ON d.label = domain),
-o_dom AS (SELECT d.id, domain AS label, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, segment_count FROM (SELECT domain, avg(x) AS x, avg(y) AS y, avg(z) AS z, count(*) AS segment_count FROM lay WHERE domain IS NOT NULL GROUP BY domain) g JOIN did d ON d.label = domain)"""
+o_con AS (SELECT c.id, concept AS label, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, segment_count, d.id AS macro_domain_id FROM (SELECT concept, avg(x) AS x, avg(y) AS y, avg(z) AS z, count(*) AS segment_count FROM lay WHERE concept IS NOT NULL GROUP BY concept) g JOIN cid c ON c.label = concept LEFT JOIN vote USING (concept) LEFT JOIN did d ON d.label = domain),
+o_dom AS (SELECT d.id, domain AS label, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, segment_count FROM (SELECT domain, avg(x) AS x, avg(y) AS y, avg(z) AS z, count(*) AS segment_count FROM lay WHERE domain IS NOT NULL GROUP BY domain) g JOIN did d ON d.label = domain)"""
 
 
 def _placed(spark, d) -> DataFrame:
@@ -398,7 +398,7 @@ def _placed(spark, d) -> DataFrame:
 def _v3(spark, d) -> dict[str, DataFrame]:
     t = load(spark, d)
     out = A.v3_tables(t["segments"], segment_labels(t["terms"]), _platforms(spark, d), _placed(spark, d))
-    return {k: v.withColumns({c: F.round(c, 6) for c in "xyz"}) for k, v in out.items()}
+    return {k: v.withColumns({c: F.round(c, 3) for c in "xyz"}) for k, v in out.items()}
 
 
 @query(_OUT + " SELECT * FROM o_seg")
