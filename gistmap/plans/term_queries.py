@@ -10,7 +10,7 @@ from gistmap.functions import text as X
 from gistmap.operators import graph as G
 from gistmap.operators import terms as K
 from gistmap.operators.turns import SQL, load
-from gistmap.runtime import spread, table
+from gistmap.runtime import table, width
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -641,19 +641,19 @@ def topk_heights(spark, d):
 def _segment_texts(spark, d) -> DataFrame:
     from gistmap.plans.map_queries import agg_segment_text
 
-    return agg_segment_text(spark, d)
+    return agg_segment_text(spark, d).repartition(width(spark), "segment_id")
 
 
 @query()
 def ml_candidates(spark, d):
-    return K.candidates(spread(_segment_texts(spark, d)))
+    return K.candidates(_segment_texts(spark, d))
 
 
 def _ranked(spark, d) -> DataFrame:
     from gistmap.operators.embedding import embed_texts
 
     texts = _segment_texts(spark, d)
-    cand = K.candidates(spread(texts))
+    cand = K.candidates(texts)
     # each distinct term is encoded once
     vec = embed_texts(cand.select("term").distinct(), "term", "v")
     seg = embed_texts(texts, "text", "u").select("segment_id", "u")

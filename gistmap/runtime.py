@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,12 +15,23 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def width(spark: SparkSession) -> int:
+    """Partitions for a shuffle that feeds costly Python steps (a fixed number is not coalesced)."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+_SHUFFLED = re.compile(r"\b(?:\w*Join|Aggregate|Distinct|Deduplicate|Window|Sort|Repartition\w*|Intersect|Except)\b")
+
+
 def spread(df: DataFrame, at_least: int | None = None) -> DataFrame:
-    """Round-robin a frame that arrives in fewer partitions than there are cores.
+    """Round-robin a frame that is scanned in fewer partitions than there are cores.
 
-    Only small inputs (one file, one row group) are touched; a frame that already has enough
-    splits is returned as it is, so a large scan gets no extra shuffle.
+    Only small inputs (one file, one row group) are touched; a frame that already has enough splits
+    is returned as it is, so a large scan gets no extra shuffle. Frames with a shuffle of their own are
+    left to adaptive execution (asking for their partitions would run them).
     """
+    if _SHUFFLED.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     want = at_least or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
