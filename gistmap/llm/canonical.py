@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gistmap.runtime import spread
+from gistmap.runtime import spread, width
 
 UNMATCHED = -1
 MAX_BROADCAST = 100_000
@@ -81,29 +81,42 @@ def forms(text: str) -> list[list[tuple[str, bool]]]:
     return out
 
 
+class Pattern:
+    """One string prepared for bit-parallel edit distances (insertions, deletions, replacements) to many."""
+
+    __slots__ = ("mask", "peq", "size", "top")
+
+    def __init__(self, a: str):
+        self.size = len(a)
+        self.peq: dict[str, int] = {}
+        for i, ch in enumerate(a):
+            self.peq[ch] = self.peq.get(ch, 0) | 1 << i
+        self.mask, self.top = (1 << len(a)) - 1, 1 << len(a) >> 1
+
+    def distance(self, b: str) -> int:
+        score = self.size
+        if not score or not b:
+            return score + len(b)
+        mask, top, get = self.mask, self.top, self.peq.get
+        vp, vn = mask, 0
+        for ch in b:
+            eq = get(ch, 0)
+            x = eq | vn
+            d = ((x & vp) + vp ^ vp) | x
+            hp = vn | ~(d | vp) & mask
+            hn = vp & d
+            if hp & top:
+                score += 1
+            elif hn & top:
+                score -= 1
+            hp = hp << 1 | 1
+            vp = (hn << 1 | ~(d | hp)) & mask
+            vn = hp & d & mask
+        return score
+
+
 def levenshtein(a: str, b: str) -> int:
-    """Bit-parallel edit distance (insertions, deletions, replacements)."""
-    if not a or not b:
-        return len(a) + len(b)
-    peq: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        peq[ch] = peq.get(ch, 0) | 1 << i
-    mask, top, score = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
-    vp, vn = mask, 0
-    for ch in b:
-        eq = peq.get(ch, 0)
-        x = eq | vn
-        d = ((x & vp) + vp ^ vp) | x
-        hp = vn | ~(d | vp) & mask
-        hn = vp & d
-        if hp & top:
-            score += 1
-        elif hn & top:
-            score -= 1
-        hp = hp << 1 | 1
-        vp = (hn << 1 | ~(d | hp)) & mask
-        vn = hp & d & mask
-    return score
+    return Pattern(a).distance(b)
 
 
 def typo_distance(a: str, b: str) -> int:
@@ -121,18 +134,18 @@ def typo_distance(a: str, b: str) -> int:
 
 
 class BKTree:
-    """Strings under a metric; ``within`` returns every string at most ``radius`` away."""
+    """Strings under the Levenshtein metric; ``within`` returns every string at most ``radius`` away."""
 
-    def __init__(self, metric=levenshtein):
-        self.metric, self.root, self.visited = metric, None, 0
+    def __init__(self) -> None:
+        self.root, self.visited = None, 0
 
     def add(self, key: str) -> None:
         if self.root is None:
             self.root = (key, {})
             return
-        node = self.root
+        distance, node = Pattern(key).distance, self.root
         while True:
-            d = self.metric(key, node[0])
+            d = distance(node[0])
             if d == 0:
                 return
             if d not in node[1]:
@@ -141,16 +154,16 @@ class BKTree:
             node = node[1][d]
 
     def within(self, key: str, radius: int) -> list[tuple[int, str]]:
+        distance = Pattern(key).distance
         found, stack = [], [self.root] if self.root else []
         while stack:
             name, children = stack.pop()
             self.visited += 1
-            d = self.metric(key, name)
+            d = distance(name)
             if d <= radius:
                 found.append((d, name))
-            for edge, child in children.items():
-                if d - radius <= edge <= d + radius:
-                    stack.append(child)
+            low, high = d - radius, d + radius
+            stack += [child for edge, child in children.items() if low <= edge <= high]
         return found
 
 
@@ -162,7 +175,8 @@ class Matcher:
         self.sets: dict[str, int] = {}
         self.words: set[str] = set()
         self.by_rest: dict[tuple, list[tuple[str, int]]] = {}
-        self.tree = BKTree()
+        # one tree per length: a term is never further from an entry in length than in edits
+        self.trees: dict[int, BKTree] = {}
         self.ids: dict[str, int] = {}
         self.memory: dict[str, tuple[int, int]] = {}
         for id_, canonical, aliases in sorted(entries, key=lambda e: e[0]):
@@ -181,7 +195,7 @@ class Matcher:
                     self.by_rest.setdefault((len(words), k, *words[:k], *words[k + 1 :]), []).append((w, id_))
                 if key not in self.ids:
                     self.ids[key] = id_
-                    self.tree.add(key)
+                    self.trees.setdefault(len(key), BKTree()).add(key)
 
     def find(self, term: str) -> tuple[int, int]:
         """(edits, id) of the best entry, or (99, UNMATCHED)."""
@@ -229,7 +243,8 @@ class Matcher:
             return 99, UNMATCHED
         edits = 1 if len(key) < 9 else 2 if len(key) < 20 else 3
         hits = []
-        for _, name in self.tree.within(key, min(2 * edits, 4)):
+        trees = [self.trees[n] for n in range(len(key) - edits, len(key) + edits + 1) if n in self.trees]
+        for _, name in (hit for tree in trees for hit in tree.within(key, min(2 * edits, 4))):
             d = typo_distance(key, name)
             if d <= edits and self._same_words(key, name):
                 hits.append((d, self.ids[name]))
@@ -287,7 +302,9 @@ def found_terms(keywords: DataFrame, reference: DataFrame) -> DataFrame:
     """(segment_id, term, term_id): one row per segment and term as written that is neither blank nor
     exactly a canonical."""
     rows = keywords.select("segment_id", F.explode(F.transform("keywords", lambda k: k["term"])).alias("term"))
-    rows = rows.where(F.regexp_replace("term", r"[\s\p{Z}\p{C}]+", "") != "").distinct()
+    rows = rows.where(F.regexp_replace("term", r"[\s\p{Z}\p{C}]+", "") != "")
+    # one shuffle serves the distinct rows and the search
+    rows = rows.repartition(width(rows.sparkSession), "segment_id", "term").distinct()
     matched = match_terms(rows, reference)
     exact = reference.select(F.col("canonical").alias("term")).where(F.col("term").isNotNull()).distinct()
     return matched.join(exact, "term", "left_anti").select("segment_id", "term", "term_id")
