@@ -6,10 +6,28 @@ import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the session, once; they need no path of their own to it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_gistmap_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="gistmap-"), "gistmap.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in sorted(os.walk(here)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("gistmap", os.path.relpath(full, here)))
+    sc.addPyFile(target)
+    sc._gistmap_shipped = True
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The table ``name`` below ``root``; columns are pruned by what a plan selects."""
     return spark.read.parquet(f"{root}/{name}.parquet")
