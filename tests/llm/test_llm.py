@@ -259,7 +259,7 @@ def test_markup_held_out():
 
 @pytest.mark.parametrize(
     "answer, state",
-    [("All is done.", "closed"), ("```python\nx = 1", "broken"), ("```\nf(x)\n```", "closed"), ("It is known, see fig.", "broken"), ("and so on (", "broken"), ("Have fun", "open"), ("Good luck 🙂", "closed"), ("\\begin{itemize}\n- a", "broken"), ("a\n- one\n- two", "listed"), ("More at https://a.example/b", "closed"), ("this is z. B.", "broken")],
+    [("All is done.", "closed"), ("```python\nx = 1", "broken"), ("```\nf(x)\n```", "closed"), ("It is known, see fig.", "broken"), ("and so on (", "broken"), ("Have fun", "open"), ("Good luck 🙂", "closed"), ("\\begin{itemize}\n- a", "broken"), ("a\n- one\n- two", "listed"), ("- It is so.\n\ntext\n- one\n- two", "listed"), ("More at https://a.example/b", "closed"), ("this is z. B.", "broken")],
 )
 def test_last_unit(answer, state):
     assert pairs.last_unit(answer)[0] == state
