@@ -217,31 +217,42 @@ class TreeModel:
         total = sum(self.types.values())
         self._edge_table = {k: (v / v.sum(axis=1, keepdims=True)) / (total / total.sum()) for k, v in self.edges.items()}
         self._edge_table["root"] = np.ones((3, 3))
+        self._shape_table = {k: v / v.sum() for k, v in self.shapes.items()}
+        self._type_table = {k: v / v.sum() for k, v in self.types.items()}
+        self._even = np.full(3, 1 / 3)
         return self
 
     def _own(self, n: Node) -> np.ndarray:
-        v = self.shapes.get(n.shape)
-        if v is None:
-            v = self.types.get(n.type, np.ones(3))
-        return v / v.sum()
+        v = self._shape_table.get(n.shape)
+        return v if v is not None else self._type_table.get(n.type, self._even)
 
     def label(self, root: Node) -> list[Node]:
         """Sum-product up and down; sets and returns the nodes with their most probable labels."""
         order = nodes_of(root)
-        own = {id(n): self._own(n) if n is not root else np.array([1.0, 0.0, 0.0]) for n in order}
+        if all(not n.children for n in root.children):
+            # a star under an uninformative root: every marginal is the node's own potential
+            for n in order[1:]:
+                n.label = int(self._own(n).argmax())
+            return order
         up: dict[int, np.ndarray] = {}
-        below = {id(n): own[id(n)].copy() for n in order}
+        below = {id(n): self._own(n) for n in order[1:]}
+        below[id(root)] = np.array([1.0, 0.0, 0.0])
         for n in reversed(order[1:]):
-            table = self._edge_table.get(_edge(n.parent, n), np.ones((3, 3)))
-            m = table @ below[id(n)]
-            up[id(n)] = m / m.sum()
-            v = below[id(n.parent)] * up[id(n)]
+            kind = _edge(n.parent, n)
+            if kind == "root":
+                up[id(n)] = self._even
+                continue
+            m = self._edge_table.get(kind, self._edge_table["root"]) @ below[id(n)]
+            up[id(n)] = m = m / m.sum()
+            v = below[id(n.parent)] * m
             below[id(n.parent)] = v / v.sum()
         full = {id(root): below[id(root)]}
         for n in order[1:]:
-            rest = full[id(n.parent)] / up[id(n)]
-            v = below[id(n)] * (rest @ self._edge_table.get(_edge(n.parent, n), np.ones((3, 3))))
-            v = v / v.sum()
+            v = below[id(n)]
+            kind = _edge(n.parent, n)
+            if kind != "root":
+                v = v * ((full[id(n.parent)] / up[id(n)]) @ self._edge_table.get(kind, self._edge_table["root"]))
+                v = v / v.sum()
             full[id(n)] = v
             n.label = int(v.argmax())
         return order
