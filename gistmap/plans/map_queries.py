@@ -14,7 +14,7 @@ from gistmap.functions import timestamps
 from gistmap.operators import segmentation as S
 from gistmap.operators import sources as SRC
 from gistmap.operators.turns import SQL, WS, load
-from gistmap.runtime import spread, table
+from gistmap.runtime import scratch_table, spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -436,7 +436,8 @@ def ml_segment_all(spark, d):
     from gistmap.operators.embedding import embed_texts
 
     t = load(spark, d)["turns"]
-    w = embed_texts(S.sliding_texts(t, 2), "text").select("chat_id", "i", "v")
+    # boundaries read the vectors several times: encode them once
+    w = scratch_table(embed_texts(S.sliding_texts(t, 2), "text").select("chat_id", "i", "v"), "windows")
     return S.segment_chats(t, w)
 
 
@@ -501,13 +502,9 @@ def fn_embed_window(spark, d):
 @query()
 def snk_conversations(spark, d):
     """Turns written as Parquet and read back."""
-    from gistmap.runtime import scratch_table
-
     return scratch_table(load(spark, d)["turns"], "turns")
 
 
 @query()
 def snk_segments(spark, d):
-    from gistmap.runtime import scratch_table
-
     return scratch_table(load(spark, d)["segments"], "segments")
