@@ -1,6 +1,7 @@
 """Iterative algorithms on arrays: density and agglomerative clustering, communities, mixtures, layouts.
 
-Pure functions of numpy arrays. They run in one task, so callers check sizes against ``MAX_ROWS`` first.
+Pure functions of numpy arrays. They run in one task, so callers check sizes against ``MAX_ROWS`` first
+(density clustering, whose memory grows with the rows alone, against ``MAX_DENSITY_ROWS``).
 """
 
 from __future__ import annotations
@@ -9,35 +10,43 @@ import math
 
 import numpy as np
 
-MAX_ROWS = 20_000
+MAX_ROWS, MAX_DENSITY_ROWS = 20_000, 100_000
 
 
-def check(n: int) -> None:
-    if n > MAX_ROWS:
-        raise ValueError(f"{n} rows exceed the {MAX_ROWS} that one task takes")
+def check(n: int, most: int = MAX_ROWS) -> None:
+    if n > most:
+        raise ValueError(f"{n} rows exceed the {most} that one task takes")
 
 
 def hdbscan(x: np.ndarray, min_cluster_size: int = 3, min_samples: int = 4) -> np.ndarray:
     """Labels by hierarchical density clustering (excess of mass); -1 is noise."""
     n = len(x)
-    check(n)
+    check(n, MAX_DENSITY_ROWS)
     if n < max(2, min_cluster_size):
         return np.full(n, -1)
-    sq = (x * x).sum(axis=1)
-    dist = np.sqrt(np.maximum(0.0, sq[:, None] + sq[None, :] - 2 * x @ x.T))
-    core = np.sort(dist, axis=1)[:, min(min_samples, n) - 1]
-    reach = np.maximum(dist, np.maximum(core[:, None], core[None, :]))
-    # minimum spanning tree
-    best, frm, done = reach[0].copy(), np.zeros(n, int), np.zeros(n, bool)
+    # squared distances, rounded: equal ones stay equal, however a product is computed
+    sq, k = (x * x).sum(axis=1), min(min_samples, n) - 1
+    core = np.empty(n)
+    for at in range(0, n, 256):
+        near = sq[at : at + 256, None] + sq[None, :] - 2 * x[at : at + 256] @ x.T
+        core[at : at + 256] = np.partition(near, k, axis=1)[:, k]
+    core = np.maximum(0.0, np.round(core, 12))
+    # minimum spanning tree; no edge is shorter than the core distance of its ends, so rows that have come down to theirs wait no more
+    best, frm, done = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
+    wait, y, j = np.arange(n), x, 0
     done[0] = True
     edges = []
     for _ in range(n - 1):
-        best_open = np.where(done, np.inf, best)
-        j = int(best_open.argmin())
-        edges.append((best[j], frm[j], j))
-        done[j] = True
-        closer = reach[j] < best
-        best, frm = np.where(closer, reach[j], best), np.where(closer, j, frm)
+        reach = np.maximum(np.round(sq[wait] + sq[j] - 2 * (y @ x[j]), 12), np.maximum(core[wait], core[j]))
+        closer = (reach < best[wait]) & ~done[wait]
+        best[wait[closer]], frm[wait[closer]] = reach[closer], j
+        j = int(best.argmin())
+        edges.append((math.sqrt(best[j]), int(frm[j]), j))
+        done[j], best[j] = True, np.inf
+        left = ~done[wait] & (best[wait] > core[wait])
+        if np.count_nonzero(left) < 0.8 * len(wait):
+            wait = wait[left]
+            y = x[wait]
     edges.sort()
     # single-linkage tree
     parent, size = list(range(2 * n - 1)), [1] * n + [0] * (n - 1)

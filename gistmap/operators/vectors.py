@@ -110,9 +110,9 @@ def majority(members: DataFrame, background: str = Domains().background) -> Data
     return g.withColumn("k", F.row_number().over(Window.partitionBy("concept").orderBy(F.desc("n"), "first"))).where("k = 1").select("concept", "domain")
 
 
-def _in_one_task(rows: DataFrame, run, schema: str) -> DataFrame:
+def _in_one_task(rows: DataFrame, run, schema: str, most: int = algos.MAX_ROWS) -> DataFrame:
     """Run ``run`` over all rows in one task, after checking that they are few enough."""
-    algos.check(rows.count())
+    algos.check(rows.count(), most)
     return rows.groupBy(F.lit(0).alias("__one")).applyInPandas(run, schema)
 
 
@@ -126,7 +126,7 @@ def hdbscan_labels(vectors: DataFrame, c: Concepts = Concepts()) -> DataFrame:
         alone = -1 - np.arange(len(label))
         return pd.DataFrame({"id": pdf["id"], "cluster": np.where(label < 0, alone, label)})
 
-    return _in_one_task(vectors.select("id", "v"), run, f"id {kind}, cluster bigint")
+    return _in_one_task(vectors.select("id", "v"), run, f"id {kind}, cluster bigint", algos.MAX_DENSITY_ROWS)
 
 
 def ward_labels(vectors: DataFrame, clusters: int) -> DataFrame:

@@ -199,10 +199,10 @@ def ml_hdbscan_segments(spark, d):
 
 @query()
 def ml_hdbscan_terms(spark, d):
-    """Concepts of hashed term vectors."""
+    """Concepts of the hashed vectors of all distinct terms; noise terms are concepts of their own."""
     from gistmap.operators.embedding import embed_texts
 
-    t = load(spark, d)["terms"].groupBy(F.col("term").alias("id")).agg(F.count("*").alias("n")).where("n >= 2").select("id")
+    t = load(spark, d)["terms"].select(F.col("term").alias("id")).distinct()
     return V.hdbscan_labels(embed_texts(t, "id", "v"), Concepts(2, 3))
 
 

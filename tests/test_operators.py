@@ -171,3 +171,22 @@ def test_density_ranks_are_a_permutation(spark):
     g = V.density_grid(V.grid(spark, 100.0, 10), parts).collect()
     assert sorted(round(r.normalized_density * 99) for r in g) == list(range(100))
     assert math.isclose(max(r.log_density for r in g), -math.log(2 * math.pi * 100) - 0.5 * 2 * (100 / 9) ** 2 / 100, abs_tol=1e-6)
+
+
+def test_every_term_gets_a_concept(spark, small):
+    from gistmap.operators.turns import load
+    from gistmap.plans.vector_queries import ml_hdbscan_terms
+
+    got = [r.id for r in ml_hdbscan_terms(spark, small).collect()]
+    assert len(got) == len(set(got)) and set(got) == {r.term for r in load(spark, small)["terms"].select("term").distinct().collect()}
+
+
+def test_density_clustering_needs_no_matrix():
+    import tracemalloc
+
+    x = np.random.default_rng(2).normal(size=(3_000, 4))
+    tracemalloc.start()
+    algos.hdbscan(x, 2, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(x) ** 2 / 2
