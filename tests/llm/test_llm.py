@@ -287,6 +287,28 @@ def test_found_defects(spark):
     assert pairs.found_defects(entries.limit(0), conv.limit(0)).count() == 0
 
 
+def entry_defects(spark, answers):
+    entries = spark.createDataFrame([(i, f"Prompted How do I use tool {i}?", [(a,)]) for i, a in enumerate(answers)], "entry_id bigint, title string, safeHtmlItem array<struct<html:string>>")
+    conv = spark.createDataFrame([], "chat_id string, turns array<struct<turn_index:int,role:string,text:string>>")
+    return {(int(r.record_key), r.defect) for r in pairs.found_defects(entries, conv).collect()}
+
+
+def test_copies_do_not_vouch_for_each_other(spark):
+    broken = "Start small. Then look at the pressure of the"
+    assert entry_defects(spark, [broken] * 4) == {(i, "truncated") for i in range(4)}
+    # different answers that end alike still make a set phrase
+    assert entry_defects(spark, [f"Use number {i}. Have fun with it" for i in ("one", "two", "three")]) == set()
+
+
+def test_copies_make_no_length_limit(spark):
+    assert entry_defects(spark, ["Take the small one. Good luck"] * 12 + ["Take the large one. Good luck"]) == set()
+
+
+def test_item_cut_inside_a_word_is_truncated_however_often(spark):
+    cut = [f"Take {w}:\n- Sow seeds\n- Wat" for w in ("one", "two", "three")]
+    assert entry_defects(spark, [*cut, "Do this:\n- Dig\n- Water the bed"]) == {(i, "truncated") for i in range(3)}
+
+
 # --- personal information ---
 
 
