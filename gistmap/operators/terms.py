@@ -15,6 +15,14 @@ from gistmap.functions import text as X
 MAX_PAIRS = 500_000
 
 
+def listed(rows: DataFrame) -> list:
+    """The rows on the driver, at most ``MAX_PAIRS``; more are refused."""
+    got = rows.limit(MAX_PAIRS + 1).collect()
+    if len(got) > MAX_PAIRS:
+        raise ValueError(f"more than {MAX_PAIRS} accepted pairs or phrases for one merge pass")
+    return got
+
+
 def chat_keywords(terms: DataFrame) -> DataFrame:
     """(chat_id, term, count) from segment terms."""
     return terms.groupBy("chat_id", "term").agg(F.count("*").alias("count"))

@@ -199,11 +199,11 @@ def grid(spark, coordinate_range: float, n: int) -> DataFrame:
 
 
 def log_joint(points: DataFrame, parts: DataFrame) -> DataFrame:
-    """Points with every component of a mixture (at most a hundred, broadcast) and the log of weight times density."""
+    """Points with every component of a mixture (broadcast) and the log of weight times density."""
     det = F.col("cxx") * F.col("cyy") - F.col("cxy") * F.col("cxy")
     dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
     quad = (F.col("cyy") * dx * dx - 2 * F.col("cxy") * dx * dy + F.col("cxx") * dy * dy) / det
-    j = points.join(F.broadcast(parts.limit(100)), F.col("weight") > 0)
+    j = points.join(F.broadcast(parts), F.col("weight") > 0)
     return j.withColumn("lp", F.log("weight") - math.log(2 * math.pi) - 0.5 * F.log(det) - 0.5 * quad)
 
 

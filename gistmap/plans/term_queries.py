@@ -693,7 +693,7 @@ def fn_embed_terms(spark, d):
 def fn_merge_sequence(spark, d):
     """Turns after the first merge pass: how many tokens are merged pairs."""
     toks = _toks(spark, d)
-    ok = K.scored_bigrams(toks).where((F.col("n") >= 5) & (F.col("npmi") >= 0.55)).select("a", "b").limit(K.MAX_PAIRS).collect()
+    ok = K.listed(K.scored_bigrams(toks).where((F.col("n") >= 5) & (F.col("npmi") >= 0.55)).select("a", "b"))
     accepted = spark.sparkContext.broadcast({(r[0], r[1]) for r in ok})
     seq = toks.groupBy("chat_id", "turn_index").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("s"))
     merged = seq.withColumn("s", K._merger(accepted)("s"))
@@ -703,7 +703,7 @@ def fn_merge_sequence(spark, d):
 @query()
 def fn_segment_with_phrases(spark, d):
     """Turns with runs of words replaced by known phrases, longest first."""
-    phrases = [r[0] for r in ml_phrases(spark, d).select("phrase").limit(K.MAX_PAIRS).collect()]
+    phrases = [r[0] for r in K.listed(ml_phrases(spark, d).select("phrase"))]
     toks = _toks(spark, d)
     seq = toks.groupBy("chat_id", "turn_index").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("s"))
     return seq.select("chat_id", "turn_index", K.phrase_segmenter(spark.sparkContext.broadcast(frozenset(phrases)))("s").alias("units"))

@@ -190,3 +190,22 @@ def test_density_clustering_needs_no_matrix():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 8 * len(x) ** 2 / 2
+
+
+@pytest.mark.parametrize("name", ["fn_merge_sequence", "fn_segment_with_phrases"])
+def test_too_many_pairs_are_refused(spark, small, monkeypatch, name):
+    from gistmap.plans import term_queries as Q
+
+    pair = spark.createDataFrame([("a", "b", 9, 0.9, "a b"), ("b", "c", 9, 0.9, "b c")], "a string, b string, n bigint, npmi double, phrase string")
+    monkeypatch.setattr(Q.K, "scored_bigrams", lambda toks: pair)
+    monkeypatch.setattr(Q, "ml_phrases", lambda spark, d: pair)
+    assert Q.QUERIES[name](spark, small).columns[:2] == ["chat_id", "turn_index"]
+    monkeypatch.setattr(Q.K, "MAX_PAIRS", 1)
+    with pytest.raises(ValueError):
+        Q.QUERIES[name](spark, small)
+
+
+def test_every_component_of_a_mixture_counts(spark):
+    parts = spark.createDataFrame([(i, 1 / 130, float(i), 0.0, 9.0, 0.0, 9.0) for i in range(130)], "component int, weight double, mx double, my double, cxx double, cxy double, cyy double")
+    point = spark.createDataFrame([(1, 0.0, 0.0)], "id int, x double, y double")
+    assert V.responsibilities(point, parts).count() == 130
