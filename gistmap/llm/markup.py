@@ -1,21 +1,26 @@
 """Markup residue to clean, structured text with a tree-structured graphical model.
 
-A text becomes a tree: elements of the document nest as in a DOM (with fenced code, LaTeX environments and
-list lines as elements of their own) and every sign that could be markup is a leaf of the element it
-stands in. Each node takes one of three labels: markup, plain (the sign in its plain sense) or code
-(a sign inside code). Node potentials come from the node's shape, edge potentials tie a child to its
-parent; both are log counts of labelled pages, which are made here from seeded, labelled fragments
-(``TRAIN_PAGES`` pages, a fixed bound). One upward and one downward sum-product pass gives exact marginals,
-the most probable label is taken, and the text is rendered from the labels: tags, emphasis and
-templates go, headings, lists, tables, code and formulas stay in one uniform notation.
-
-Linear in the text, no shuffle. Defined results: a null text has no kinds and stays null; an empty
-one stays empty; unclosed code, environments and tags end with the text.
+A text becomes a tree: elements of the document nest as in a DOM (with fenced code, LaTeX commands and
+environments, links, templates and emphasis as elements of their own) and every sign that could be markup is a
+node below the element it stands in. Each node takes one of three labels: markup, plain (the sign in its plain
+sense) or code (a sign inside code). The root takes the notation the text is written in (``NOTATIONS``).
+Node potentials come from the node's shape, edge potentials tie a child to its parent's label, and at the top to
+the notation of the text; all are log counts of labelled pages, which are made here from seeded,
+labelled fragments (``TRAIN_PAGES`` pages, a fixed bound). Sum-product messages run upward and downward once
+and give exact marginals: a sign that can be read in two ways is read as its surroundings are. The most
+probable label is taken, and the text is rendered from the labels: tags, emphasis and templates go, headings,
+lists, tables, code and formulas stay in one uniform notation.
+
+Elements are matched with stacks and sorted positions, without a bound on their length or depth. Near-linear in
+the text, no shuffle. Defined results: a null text has no kinds and stays null; an empty one stays empty; unclosed
+code, environments and tags end with the text.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
+import math
 import random
 import re
 from collections.abc import Iterator
@@ -30,6 +35,8 @@ from pyspark.sql import functions as F
 from gistmap.runtime import spread
 
 MARKUP, PLAIN, CODE = 0, 1, 2
+#: What the root of a text can be.
+NOTATIONS = ("plain", "html", "markdown", "wiki", "latex")
 TRAIN_PAGES = 900
 
 # Element names of HTML that occur in exported chats.
@@ -37,33 +44,42 @@ TAGS = set("a abbr address article aside b blockquote body br button caption cen
 VOID = set("br hr img input link meta col".split())
 BLOCKS = set("p div h1 h2 h3 h4 h5 h6 ul ol li table tr pre blockquote section article header footer dl dt dd hr figure".split())
 
-_SIGNS = re.compile(r"[<&`#*_\[\]{}|\\$=>'+~]|^[ \t]*(?:-|\d{1,3}[.)])[ \t]", re.M)
+# LaTeX names that stand without an argument, list and code environments, and environments that hold a formula.
+BARE = set("alpha beta gamma delta epsilon varepsilon zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi varphi chi psi omega Gamma Delta Theta Lambda Xi Pi Sigma Phi Psi Omega times cdot leq geq neq approx infty sum prod int partial nabla to rightarrow leftarrow Rightarrow forall exists in pm ldots cdots dots quad qquad LaTeX TeX newline newpage maketitle centering noindent bigskip medskip smallskip hline item".split())
+LIST_ENVS, CODE_ENVS = {"itemize", "enumerate", "description"}, {"verbatim", "lstlisting", "minted"}
+MATH_ENVS = {"equation", "align", "gather", "multline", "eqnarray", "math", "displaymath"}
+
+_SIGNS = re.compile(r"[<&`#*_\[\]{}|\\$=>'+~]|^[ \t]*(?:-|\d{1,9}[.)])[ \t]", re.M)
+#: Where an element can start: a sign, or the beginning of a line that may be a heading, list, rule or quote.
+_START = re.compile(r"[<&\\$\[{'`*_~]|^[ \t]*(?:[=#>+\-|:]|\d{1,9}[.)])", re.M)
 _TOKEN = re.compile(
     r"""
-    (?P<comment><!--.*?(?:-->|\Z))
+    (?P<comment><!--)
   | (?P<tag></?(?P<name>[A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*|/)?>)
   | (?P<escaped>&lt;/?(?P<ename>[A-Za-z][A-Za-z0-9]*)(?:\s(?:(?!&[lg]t;)[^<>\n])*|/)?&gt;)
   | (?P<ref>&(?:\#[0-9]{1,7}|\#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});)
-  | (?P<fence>^[ \t]*(?:```|~~~)[^\n`]*$)
-  | (?P<env>\\(?:begin|end)\{[A-Za-z*]+\})
+  | (?P<fence>(?<![^\n])[ \t]*(?:```|~~~)[^\n`]*$)
+  | (?P<env>\\(?:begin|end)\{(?P<envname>[A-Za-z]+)\*?\})
   | (?P<item>\\item\b[ ]?)
-  | (?P<display>\$\$.+?\$\$|\\\[.+?\\\])
-  | (?P<inline>\\\(.+?\\\)|\$(?=\S)[^$\n]{1,200}?(?<=\S)\$)
-  | (?P<command>\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\})
-  | (?P<wlink>\[\[[^\[\]\n]{1,200}\]\])
-  | (?P<template>\{\{[^{}]{1,300}\}\})
-  | (?P<whead>^[ \t]*(?P<eq>={2,6})[ ]?[^=\n][^\n]*?[ ]?(?P=eq)[ \t]*$)
-  | (?P<wemph>'{2,5}(?=[^'\s])[^'\n]{1,200}?(?<=[^'\s])'{2,5})
-  | (?P<mhead>^[ ]{0,3}\#{1,6}[ ]+(?=\S))
-  | (?P<mtable>^[ ]*\|?[ ]*:?-{2,}:?[ ]*(?:\|[ ]*:?-{2,}:?[ ]*)+\|?[ ]*$)
-  | (?P<mlist>^[ ]{0,8}(?:[-*+]|\d{1,3}[.)])[ \t]+(?=\S))
-  | (?P<mquote>^[ ]{0,3}>[ ]?(?=\S))
-  | (?P<mlink>!?\[[^\[\]\n]{1,200}\]\([^()\s]{1,400}\))
-  | (?P<mcode>`{1,2}(?=[^`])[^`\n]{1,200}`{1,2})
-  | (?P<memph>(?<![\w*_\\])(?P<em>\*{1,3}|_{1,3}|~~)(?=[^\s*_~])[^\n]{0,200}?(?<=[^\s*_~\\])(?P=em)(?![\w*_]))
+  | (?P<display>\$\$|\\\[)
+  | (?P<inline>\\\(|\$(?=\S)[^$\n]+?(?<=\S)\$)
+  | (?P<command>\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?)
+  | (?P<wlink>\[\[[^\[\]\n]+\]\])
+  | (?P<template>\{\{)
+  | (?P<whead>(?<![^\n])[ \t]*(?P<eq>={2,6})[ ]?[^=\n][^\n]*?[ ]?(?P=eq)[ \t]*$)
+  | (?P<wemph>'{2,5}(?=[^'\s]))
+  | (?P<mhead>(?<![^\n])[ ]{0,3}\#{1,6}[ ]+(?=\S))
+  | (?P<mtable>(?<![^\n])[ ]*\|?[ ]*:?-{2,}:?[ ]*(?:\|[ ]*:?-{2,}:?[ ]*)+\|?[ ]*$)
+  | (?P<mlist>(?<![^\n])[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+(?=\S))
+  | (?P<mquote>(?<![^\n])[ ]{0,3}>[ ]?(?=\S))
+  | (?P<mlink>!?\[[^\[\]\n]+\]\([^()\s]*(?:\([^()\s]*\)[^()\s]*)*(?:[ ]"[^"\n]*")?\))
+  | (?P<mcode>`{1,2}(?=[^`])[^`\n]+`{1,2})
+  | (?P<memph>(?<![\w*_\\])(?P<em>\*{1,3}|_{1,3}|~~)(?=[^\s*_~]))
     """,
-    re.X | re.M | re.S,
+    re.X | re.M,
 )
+_EMPH_END = re.compile(r"(?<=[^\s*_~\\])(\*{1,3}|_{1,3}|~~)(?![\w*_])")
+_WEMPH_END = re.compile(r"(?<=[^'\s])'{2,5}")
 KIND = {
     "comment": "html", "tag": "html", "escaped": "html", "ref": "html",
     "fence": "markdown", "mhead": "markdown", "mtable": "markdown", "mlist": "markdown", "mquote": "markdown", "mlink": "markdown", "mcode": "markdown", "memph": "markdown",
@@ -73,19 +89,21 @@ KIND = {
 
 
 class Node:
-    __slots__ = ("children", "end", "label", "name", "parent", "shape", "start", "type")
+    """One sign or element. ``inner`` is the range of its content where it is looked into, else None."""
+
+    __slots__ = ("children", "end", "inner", "label", "name", "parent", "shape", "start", "type")
 
     def __init__(self, type_: str, start: int, end: int, shape: str, parent: Node | None, name: str = ""):
         self.type, self.start, self.end, self.shape, self.parent, self.name = type_, start, end, shape, parent, name
         self.children: list[Node] = []
         self.label = PLAIN
+        self.inner: tuple[int, int] | None = None
         if parent is not None:
             parent.children.append(self)
 
 
-def _shape(kind: str, m: re.Match, text: str) -> str:
+def _shape(kind: str, m: re.Match, text: str, end: int) -> str:
     """What the potentials see of a node: its type and a few properties of its signs."""
-    s = m.group()
     if kind == "tag":
         name = m["name"].lower()
         known = name in TAGS
@@ -95,41 +113,156 @@ def _shape(kind: str, m: re.Match, text: str) -> str:
     if kind == "escaped":
         return f"escaped:{m['ename'].lower() in TAGS}:{m['ename'].isupper() and len(m['ename']) == 1}"
     if kind == "ref":
+        s = m.group()
         return f"ref:{s[1] == '#' or s[1:] in html5}"
-    if kind == "inline" and s[0] == "$":
-        body = s[1:-1]
-        money = bool(re.match(r"\d", body)) and bool(re.search(r"[A-Za-z]{2,} ", body))
-        return f"inline$:{money}:{bool(re.search(r'[\\^_=+<>]|^[A-Za-z]$', body))}:{text[m.end() : m.end() + 1].isdigit()}"
+    if kind == "inline" and text[m.start()] == "$":
+        body = text[m.start() + 1 : end - 1]
+        money = body[0].isdigit() and re.search(r"[A-Za-z]{2,} ", body) is not None
+        return f"inline$:{money}:{bool(re.search(r'[\\^_=+<>]|^[A-Za-z]$', body))}:{text[end : end + 1].isdigit()}"
     if kind == "memph":
-        body = s.strip("*_~")
-        return f"memph:{m['em'][0]}:{len(m['em'])}:{bool(re.fullmatch(r'[\d\s.,*+x=-]*', body))}:{len(body) > 60}"
+        body = text[m.end() : end - len(m["em"])]
+        return f"memph:{m['em'][0]}:{len(m['em'])}:{bool(re.fullmatch(r'[\d\s.,*+x=-]*', body))}"
     if kind == "mcode":
-        return f"mcode:{len(s) > 80}"
+        return f"mcode:{end - m.start() > 80}"
     if kind == "mlist":
-        before = text[: m.start()].rstrip(" ")
-        return f"mlist:{s.strip()[:1].isdigit()}:{before == '' or before.endswith(chr(10))}:{text[m.end() : m.end() + 1].isdigit()}"
+        return f"mlist:{m.group().strip()[0].isdigit()}:{text[end : end + 1].isdigit()}"
     if kind == "wemph":
-        return f"wemph:{re.match(chr(39) + '+', s).group() == re.search(chr(39) + '+$', s).group()}"
+        body = text[m.end() : end].rstrip("'")
+        return f"wemph:{len(m.group()) == end - m.end() - len(body)}:{body.replace(' ', '').isdigit()}"
     if kind == "whead":
-        return f"whead:{bool(re.search(r'[();]', s))}"
+        return f"whead:{bool(re.search(r'[();]', m.group()))}"
     if kind == "mhead":
-        return f"mhead:{text[m.end() : m.end() + 1].isdigit()}"
+        return f"mhead:{text[end : end + 1].isdigit()}"
     if kind == "command":
-        return f"command:{bool(re.search(r'[/\\\\:]', text[max(0, m.start() - 1) : m.start()]))}"
+        return f"command:{end > m.end()}:{m.group()[1:].rstrip('*') in BARE}:{text[m.start() - 1 : m.start()] in ('/', ':') or (text[m.start() - 1 : m.start()].isalnum() and end == m.end())}"
     if kind == "template":
-        return f"template:{chr(10) in s}"
+        return f"template:{chr(10) in text[m.start() : end]}"
     return kind
 
 
+class _Ends:
+    """Where elements of one text end; each list is made once, when first asked for."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.closing: dict[str, list[int]] = {}
+        self.none_after: dict[str, int] = {}
+        self.pairs: dict[str, dict[int, int]] = {}
+
+    def mark(self, mark: str, pattern: re.Pattern, after: int) -> int:
+        """Start of the next ``mark`` on the same line that can close an emphasis, or -1."""
+        at = self.closing.get(mark)
+        if at is None:
+            at = []
+            for m in pattern.finditer(self.text):
+                if pattern is _WEMPH_END or m.group() == mark:
+                    at.append(m.start())
+            self.closing[mark] = at
+        i = bisect.bisect_left(at, after)
+        if i == len(at):
+            return -1
+        return -1 if self.text.find("\n", after, at[i]) >= 0 else at[i]
+
+    def find(self, sign: str, after: int) -> int:
+        """Next ``sign``, or -1; a miss is remembered."""
+        if after >= self.none_after.get(sign, len(self.text) + 1):
+            return -1
+        at = self.text.find(sign, after)
+        if at < 0:
+            self.none_after[sign] = min(after, self.none_after.get(sign, after))
+        return at
+
+    def match(self, opened: str, closed: str, at: int) -> int:
+        """Start of the bracket that closes the one at ``at``, or -1; brackets nest."""
+        pairs = self.pairs.get(opened)
+        if pairs is None:
+            pairs, stack = {}, []
+            for m in re.finditer(f"{re.escape(opened)}|{re.escape(closed)}", self.text):
+                if m.group() == opened:
+                    stack.append(m.start())
+                elif stack:
+                    pairs[stack.pop()] = m.start()
+            self.pairs[opened] = pairs
+        return pairs.get(at, -1)
+
+
+def _element(kind: str, m: re.Match, text: str, ends: _Ends) -> tuple[int, tuple[int, int] | None]:
+    """(end, content range or None) of the element that starts with ``m``; end -1: there is none."""
+    start, end = m.span()
+    if kind == "comment":
+        at = ends.find("-->", end)
+        return (at + 3 if at >= 0 else len(text)), None
+    if kind == "display":
+        closed = "$$" if text[start] == "$" else "\\]"
+        at = ends.find(closed, end)
+        return (at + 2 if at > end else -1), None
+    if kind == "inline" and text[start] == "\\":
+        at = ends.find("\\)", end)
+        return (at + 2 if at > end else -1), None
+    if kind == "command":
+        groups, at = [], end
+        while text[at : at + 1] == "{" and (close := ends.match("{", "}", at)) >= 0:
+            groups.append((at + 1, close))
+            at = close + 1
+        if not groups:
+            return m.start() + len(re.match(r"\\[A-Za-z]+", m.group()).group()), None
+        if len(groups) == 1 or m.group().startswith("\\href"):
+            return at, groups[-1]
+        return at, None
+    if kind == "template":
+        at = ends.match("{{", "}}", start)
+        return (at + 2 if at > end else -1), None
+    if kind == "wemph":
+        at = ends.mark("''", _WEMPH_END, end + 1)
+        if at < 0:
+            return -1, None
+        return at + len(re.match("'{2,5}", text[at : at + 5]).group()), (end, at)
+    if kind == "memph":
+        at = ends.mark(m["em"], _EMPH_END, end + 1)
+        return (at + len(m["em"]), (end, at)) if at >= 0 else (-1, None)
+    if kind == "wlink":
+        return end, (max(start + 2, text.rfind("|", start, end) + 1), end - 2)
+    if kind == "mlink":
+        at = text.index("[", start) + 1
+        return end, (at, text.index("]", at))
+    return end, None
+
+
 def parse(text: str) -> Node:
     """The tree of a text; leaves and elements in order of appearance."""
     root = Node("root", 0, len(text), "root", None)
-    here = root
-    at = 0
-    while (m := _TOKEN.search(text, at)) is not None:
-        kind = next(k for k in KIND if m[k] is not None)
-        at = max(m.end(), m.start() + 1)
-        node = Node(kind, m.start(), m.end(), _shape(kind, m, text), here)
+    here, at = root, 0
+    ends = _Ends(text)
+    # elements looked into, innermost last: (end of the content, end of the element, element)
+    open_: list[tuple[int, int, Node]] = []
+    while (s := _START.search(text, at)) is not None:
+        pos = s.start()
+        while open_ and pos >= open_[-1][0]:
+            stop, end, node = open_.pop()
+            here, pos = node.parent, max(pos, end)
+        if pos != s.start():
+            at = pos
+            continue
+        m = _TOKEN.match(text, pos)
+        if m is None and text[pos] in " \t":
+            at = pos + 1
+            continue
+        end, inner = -1, None
+        if m is not None:
+            kind = m.lastgroup if m.lastgroup in KIND else _INNER.get(m.lastgroup)
+            end, inner = _element(kind, m, text, ends)
+        if end < 0 or (open_ and end > open_[-1][0]):
+            at = pos + 1
+            # a run of the same sign is one sign
+            while at < len(text) and text[at] == text[pos] and text[pos] in "*_~'`":
+                at += 1
+            continue
+        at = end
+        node = Node(kind, pos, end, _shape(kind, m, text, end), here)
+        if inner is not None and inner[0] < inner[1]:
+            node.inner = inner
+            open_.append((inner[1], end, node))
+            here, at = node, inner[0]
         if kind == "tag":
             name = node.name = m["name"].lower()
             if m.group().startswith("</"):
@@ -142,19 +275,26 @@ def parse(text: str) -> Node:
                     up.parent.children.append(node)
                     here = up.parent
             elif name in TAGS and name not in VOID and not m.group().endswith("/>"):
-                if name in ("li", "p", "tr", "td", "th"):
+                if name in ("li", "p", "tr", "td", "th") and here.type == "tag" and here.name == name:
                     # an unclosed sibling of the same name ends here
-                    if here.type == "tag" and here.name == name:
-                        here.children.remove(node)
-                        node.parent = here.parent
-                        here.parent.children.append(node)
+                    here.children.remove(node)
+                    node.parent = here.parent
+                    here.parent.children.append(node)
                 here = node
+        elif kind == "env":
+            node.name = m["envname"]
+            if node.name in CODE_ENVS and m.group().startswith("\\begin"):
+                stop = ends.find(f"\\end{{{node.name}", end)
+                at = stop if stop >= 0 else len(text)
+                _inside(text, end, at, node)
+        elif kind == "command":
+            node.name = re.match(r"\\([A-Za-z]+)", m.group()).group(1)
         elif kind == "fence":
             node.name = "fence"
             mark = m.group().strip()[:3]
-            close = re.compile(rf"^[ \t]*{mark}[ \t]*(?=$|\s)", re.M).search(text, m.end())
+            close = re.compile(rf"^[ \t]*{mark}[ \t]*(?=$|\s)", re.M).search(text, end)
             stop = close.start() if close else len(text)
-            _inside(text, m.end(), stop, node)
+            _inside(text, end, stop, node)
             if close:
                 Node("fence", close.start(), close.end(), "fence", here, "close")
                 at = close.end()
@@ -166,22 +306,30 @@ def parse(text: str) -> Node:
     return root
 
 
+_INNER = {"name": "tag", "ename": "escaped", "envname": "env", "eq": "whead", "em": "memph"}
+
+
 def _inside(text: str, start: int, stop: int, parent: Node) -> None:
     """Signs inside code, as leaves below it."""
-    at = start
-    while (m := _TOKEN.search(text, at, stop)) is not None:
-        kind = next(k for k in KIND if m[k] is not None)
-        Node(kind, m.start(), m.end(), _shape(kind, m, text), parent)
-        at = max(m.end(), m.start() + 1)
+    ends, at = _Ends(text), start
+    while (s := _START.search(text, at, stop)) is not None:
+        m = _TOKEN.match(text, s.start(), stop)
+        at = s.start() + 1
+        if m is not None:
+            kind = m.lastgroup if m.lastgroup in KIND else _INNER.get(m.lastgroup)
+            Node(kind, m.start(), m.end(), _shape(kind, m, text, m.end()), parent)
+            at = max(m.end(), at)
 
 
 def _edge(parent: Node, child: Node) -> str:
-    """The type of the edge to a child."""
+    """The type of the edge to a child; below the root it is the notation the child would be of."""
+    if parent.type == "root":
+        return KIND[child.type]
     if parent.type == "tag" and parent.name == "pre" and child.type == "tag" and child.name == "code":
         return "wrap"
-    if parent.type == "fence" or (parent.type == "tag" and parent.name in ("pre", "code", "script", "style", "kbd", "samp", "tt")):
+    if parent.type == "fence" or (parent.type == "env" and parent.name in CODE_ENVS) or (parent.type == "tag" and parent.name in ("pre", "code", "script", "style", "kbd", "samp", "tt")):
         return "code"
-    return "flow" if parent.type != "root" else "root"
+    return "flow"
 
 
 def nodes_of(root: Node) -> list[Node]:
@@ -196,65 +344,86 @@ def nodes_of(root: Node) -> list[Node]:
 class TreeModel:
     """Node and edge potentials, and exact inference on a tree."""
 
-    def __init__(self) -> None:
-        self.shapes: dict[str, np.ndarray] = {}
-        self.edges: dict[str, np.ndarray] = {}
-        self.types: dict[str, np.ndarray] = {}
-
-    def fit(self, pages: list[tuple[str, list[tuple[int, int, int]]]]) -> TreeModel:
-        """Count labels of nodes by shape and of edges by type on labelled pages."""
-        for text, spans in pages:
+    def fit(self, pages: list[tuple[str, list[tuple[int, int, int]], int]]) -> TreeModel:
+        """Count labels of nodes by shape and of edges by type on labelled pages (text, spans, notation)."""
+        shapes: dict[str, np.ndarray] = {}
+        edges: dict[str, np.ndarray] = {}
+        types: dict[str, np.ndarray] = {}
+        prior = np.full(len(NOTATIONS), 1.0)
+        for text, spans, notation in pages:
             root = parse(text)
+            prior[notation] += 1
             for n in nodes_of(root)[1:]:
                 n.label = next((label for a, b, label in spans if a <= n.start < b), PLAIN)
-                if n.parent.type != "root" and _edge(n.parent, n) == "code" and n.parent.label in (MARKUP, CODE) and not (n.type == "tag" and n.name in ("code", "pre")):
+                top = n.parent.type == "root"
+                kind = _edge(n.parent, n)
+                if kind == "code" and n.parent.label in (MARKUP, CODE) and not (n.type == "tag" and n.name in ("code", "pre")):
                     n.label = CODE
-                self.shapes.setdefault(n.shape, np.full(3, 0.2))[n.label] += 1
-                self.types.setdefault(n.type, np.full(3, 0.2))[n.label] += 1
-                up = MARKUP if n.parent.type == "root" else n.parent.label
-                self.edges.setdefault(_edge(n.parent, n), np.full((3, 3), 0.2))[up, n.label] += 1
-        # an edge tells how far the child's label leaves what its shapes alone would give
-        total = sum(self.types.values())
-        self._edge_table = {k: (v / v.sum(axis=1, keepdims=True)) / (total / total.sum()) for k, v in self.edges.items()}
-        self._edge_table["root"] = np.ones((3, 3))
-        self._shape_table = {k: v / v.sum() for k, v in self.shapes.items()}
-        self._type_table = {k: v / v.sum() for k, v in self.types.items()}
-        self._even = np.full(3, 1 / 3)
+                shapes.setdefault(n.shape, np.full(3, 0.2))[n.label] += 1
+                types.setdefault(n.type, np.full(3, 0.2))[n.label] += 1
+                edges.setdefault(kind, np.full((len(NOTATIONS) if top else 3, 3), 0.2))[notation if top else n.parent.label, n.label] += 1
+        # an edge tells how far the child's label leaves what its shapes alone would give; at the top also how far
+        # a notation favours children of a kind, so that the signs of a text tell its notation
+        total = sum(types.values())
+        per_notation = sum(v.sum(axis=1, keepdims=True) for k, v in edges.items() if k in NOTATIONS)
+        self.edges = {}
+        for k, v in edges.items():
+            if k in NOTATIONS:
+                ratio = (v / per_notation) / (v.sum(axis=0) / per_notation.sum())
+            else:
+                ratio = (v / v.sum(axis=1, keepdims=True)) / (total / total.sum())
+            self.edges[k] = [tuple(float(x) for x in row) for row in ratio]
+        self.shapes = {k: tuple(float(x) for x in v / v.sum()) for k, v in shapes.items()}
+        self.types = {k: tuple(float(x) for x in v / v.sum()) for k, v in types.items()}
+        self.prior = [math.log(x) for x in prior / prior.sum()]
         return self
 
-    def _own(self, n: Node) -> np.ndarray:
-        v = self._shape_table.get(n.shape)
-        return v if v is not None else self._type_table.get(n.type, self._even)
+    def own(self, n: Node) -> tuple[float, float, float]:
+        """The node potential."""
+        return self.shapes.get(n.shape) or self.types.get(n.type) or (1 / 3, 1 / 3, 1 / 3)
+
+    def edge(self, kind: str) -> list[tuple[float, float, float]]:
+        """The edge potential: a row per label (or notation) of the parent."""
+        return self.edges.get(kind) or [(1.0, 1.0, 1.0)] * (len(NOTATIONS) if kind in NOTATIONS else 3)
 
     def label(self, root: Node) -> list[Node]:
         """Sum-product up and down; sets and returns the nodes with their most probable labels."""
         order = nodes_of(root)
-        if all(not n.children for n in root.children):
-            # a star under an uninformative root: every marginal is the node's own potential
-            for n in order[1:]:
-                n.label = int(self._own(n).argmax())
-            return order
-        up: dict[int, np.ndarray] = {}
-        below = {id(n): self._own(n) for n in order[1:]}
-        below[id(root)] = np.array([1.0, 0.0, 0.0])
+        below = {id(n): self.own(n) for n in order[1:]}
+        up: dict[int, tuple] = {}
+        top = list(self.prior)
         for n in reversed(order[1:]):
-            kind = _edge(n.parent, n)
-            if kind == "root":
-                up[id(n)] = self._even
+            a, b, c = below[id(n)]
+            m = [x * a + y * b + z * c for x, y, z in self.edge(_edge(n.parent, n))]
+            if n.parent.type == "root":
+                up[id(n)] = m = [math.log(v) for v in m]
+                for d, v in enumerate(m):
+                    top[d] += v
                 continue
-            m = self._edge_table.get(kind, self._edge_table["root"]) @ below[id(n)]
-            up[id(n)] = m = m / m.sum()
-            v = below[id(n.parent)] * m
-            below[id(n.parent)] = v / v.sum()
-        full = {id(root): below[id(root)]}
+            s = sum(m)
+            up[id(n)] = m = (m[0] / s, m[1] / s, m[2] / s)
+            x, y, z = below[id(n.parent)]
+            x, y, z = x * m[0], y * m[1], z * m[2]
+            s = x + y + z
+            below[id(n.parent)] = (x / s, y / s, z / s)
+        full: dict[int, tuple] = {}
         for n in order[1:]:
-            v = below[id(n)]
-            kind = _edge(n.parent, n)
-            if kind != "root":
-                v = v * ((full[id(n.parent)] / up[id(n)]) @ self._edge_table.get(kind, self._edge_table["root"]))
-                v = v / v.sum()
-            full[id(n)] = v
-            n.label = int(v.argmax())
+            a, b, c = below[id(n)]
+            if n.parent.type == "root":
+                rest = [t - v for t, v in zip(top, up[id(n)])]
+                most = max(rest)
+                q = [math.exp(r - most) for r in rest]
+            else:
+                q = [f / u for f, u in zip(full[id(n.parent)], up[id(n)])]
+            x = y = z = 0.0
+            for w, (i, j, k) in zip(q, self.edge(_edge(n.parent, n))):
+                x += w * i
+                y += w * j
+                z += w * k
+            x, y, z = x * a, y * b, z * c
+            s = x + y + z
+            full[id(n)] = (x / s, y / s, z / s)
+            n.label = MARKUP if x >= y and x >= z else PLAIN if y >= z else CODE
         return order
 
 
@@ -263,50 +432,75 @@ class TreeModel:
 _WORDS = "river stone garden paper window simple morning engine letter market copper silver forest bridge violet winter summer little common number answer river table chair light sound water cloud plate"
 
 
-def _fragments(r: random.Random) -> tuple[str, int]:
-    """One fragment and the label of the signs in it (code inside code is labelled by its place)."""
+def _fragments(r: random.Random, notation: int) -> tuple[str, int]:
+    """One fragment, mostly of the notation, and the label of the signs in it (code inside code is labelled by its place)."""
     w = lambda: r.choice(_WORDS.split())
     n = lambda: r.randint(2, 99)
     code = r.choice([f"for x in range({n()}):\n    print(x * {n()})  # {w()}", f"SELECT {w()}, count(*)\nFROM {w()}", f"if (a &lt; {n()} &amp;&amp; b) {{ run(); }}", f"# {w()}\n* {w()}\nx == y", f"let {w()} = [{n()}];", f"<b>{w()}</b> **{w()}**"])
-    good = [
+    of_html = [
         f"<p>{w()} {w()}.</p>", f"<ul><li>{w()}</li><li>{w()}</li></ul>", f"<h3>{w()}</h3>", f"<b>{w()}</b>", f"<br>", f"<br/>", f"<div class=\"x\">{w()}</div>", f"<!-- {w()} -->",
         f"<table><tr><th>{w()}</th></tr><tr><td>{n()}</td></tr></table>", f"<a href=\"https://x.example/{n()}\">{w()}</a>", f"<pre><code>{code}</code></pre>", f"<span>{w()}</span>", f"<LI>{w()}<LI>{w()}", f"<i>{w()}</i>",
         f"{w()}&nbsp;{w()}", f"{w()} &amp; {w()}", f"&quot;{w()}&quot;", f"{w()} &ndash; {w()}", f"&#160;{w()}", f"a &lt; b", f"&lt;b&gt;{w()}&lt;/b&gt;", f"&lt;i&gt;{w()}&lt;/i&gt;",
+    ]
+    of_markdown = [
         f"\n# {w()}\n", f"\n### {w()} {w()}\n", f"\n- {w()} {w()}\n- {w()}\n", f"\n* {w()}\n* {w()} {w()}.\n", f"\n1. {w()} {w()}.\n2. {w()}.\n", f"\n+ {w()}\n", f"\n1) {w()}\n2) {w()}\n", f"\n> {w()} {w()}?\n", f"\n| {w()} | {w()} |\n|---|:--:|\n| {n()} | {n()} |\n",
         f"[{w()}](https://x.example/{n()})", f"**{w()}**", f"*{w()}*", f"__{w()}__", f"_{w()}_", f"**{w()} {w()}**", f"`{w()}_{w()}`", f"\n```\n{code}\n```\n", f"\n```python\n{code}\n```\n", f"**{n()}**",
-        f"[[{w()}|{w()}]]", f"[[{w()}]]", f"[[Category:{w()}]]", f"{{{{note|{w()}|{n()}}}}}", f"\n== {w()} ==\n", f"\n=== {w()} {w()} ===\n", f"'''{w()}'''", f"''{w()}''",
-        f"\\textbf{{{w()}}}", f"\\emph{{{w()}}}", f"\n\\section{{{w()}}}\n", f"\n\\begin{{itemize}}\n\\item {w()} {w()}.\n\\end{{itemize}}\n", f"$x_{n()} = \\alpha^{n()}$", f"$a + b$", f"$$\\frac{{a}}{{b}} = {n()}$$", f"\n\\[ \\sum_i x_i \\leq {n()} \\]\n", f"\\(\\lambda_{n()} > 0\\)",
+    ]
+    of_wiki = [
+        f"[[{w()}|{w()}]]", f"[[{w()}]]", f"[[Category:{w()}]]", f"{{{{note|{w()}|{n()}}}}}", f"\n== {w()} ==\n", f"\n=== {w()} {w()} ===\n", f"'''{w()}'''", f"''{w()}''", f"{{{{note|{{{{{w()}}}}}|{n()}}}}}",
+    ]
+    of_latex = [
+        f"\\textbf{{{w()}}}", f"\\emph{{{w()}}}", f"\n\\section{{{w()}}}\n", f"\n\\begin{{itemize}}\n\\item {w()} {w()}.\n\\end{{itemize}}\n", f"$x_{n()} = \\alpha^{n()}$", f"$a + b$", f"$$\\frac{{a}}{{b}} = {n()}$$", f"\n\\[ \\sum_i x_i \\leq {n()} \\]\n", f"\\(\\lambda_{n()} > 0\\)", f"\\textbf{{{w()} \\emph{{{w()}}} {w()}}}", f"where \\alpha and \\beta hold",
     ]
     plain = [
         f"It costs ${n()} or at most ${n()} per month.", f"From ${n()} to ${n()} in all.", f"That makes 2 * {n()} * {n()} pieces.", f"The name max_{n()}_items is long.", f"Check whether x == y before row[{n()}].", f"As long as a < b and c > {n()}.",
         f"Use 10^{n()} as limit ~ roughly.", "In C# or F# without changes.", f"Replace {{name}} by {w()}.", f"The R&D notes rank it #{n()}.", "The type Vec<T> is right.", "Use Map<K, V> or List<Item> here.", f"{w()} {w()} {w()}.", f"it's 5' 10'' tall", f"snake_case_{w()} and other_{w()}", f"a - b + c = {n()}",
-        f"see [{n()}] and (x)", f"path C:\\Temp\\{w()}", f"mail & phone; {w()}|{w()}", f"~{n()} minutes", f"The type Vec&lt;T&gt; is right.",
+        f"see [{n()}] and (x)", f"path C:\\Temp\\{w()}", f"D:\\alpha\\{w()}", f"mail & phone; {w()}|{w()}", f"~{n()} minutes", f"The type Vec&lt;T&gt; is right.",
     ]
     # escaped type names are character references, which are markup, though the tag they spell is none
-    if r.random() < 0.72:
-        return r.choice(good), MARKUP
+    if r.random() < (0.15 if notation == 0 else 0.72):
+        lists = (of_html, of_markdown, of_wiki, of_latex)
+        return r.choice(lists[notation - 1] if notation and r.random() < 0.65 else r.choice(lists)), MARKUP
     s = r.choice(plain)
     return s, MARKUP if "&lt;T" in s else PLAIN
 
 
-def labelled_pages(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Seeded pages: (text, [(start, end, label)])."""
+def _doubtful(r: random.Random, notation: str) -> tuple[str, int]:
+    """A fragment whose signs can be read in two ways; in a text of their notation they are markup."""
+    w = lambda: r.choice(_WORDS.split())
+    n = lambda: r.randint(2, 99)
+    every = [
+        ("markdown", f"*{n()}*"), ("markdown", f"_{n()}_"), ("markdown", f"\n# {n()} {w()}s\n"), ("markdown", f"\n- {n()} {w()}\n"),
+        ("wiki", f"''{n()}''"), ("wiki", f"\n== {w()} ({n()}); ==\n"), ("wiki", f"{{{{{w()}\n|{w()}}}}}"),
+        ("latex", f"${n()} {w()}s$"), ("latex", f"${n()}$"), ("latex", f"\\{w()}"), ("html", f"<{w()}>"), ("html", f"<{w()}>{w()}</{w()}>"),
+    ]
+    mine = [x for x in every if x[0] == notation]
+    of, s = r.choice(mine if mine and r.random() < 0.5 else every)
+    return s, MARKUP if of == notation else PLAIN
+
+
+def labelled_pages(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int, int]], int]]:
+    """Seeded pages: (text, [(start, end, label)], notation)."""
     r = random.Random(seed)
     pages = []
     for _ in range(n):
         text, spans = "", []
-        wrap = r.random() < 0.3
+        notation = r.randrange(len(NOTATIONS))
+        wrap = r.random() < (0.6 if NOTATIONS[notation] == "html" else 0.05)
         if wrap:
             text = "<div>"
             spans.append((0, 5, MARKUP))
         for _ in range(r.randint(1, 7)):
-            frag, label = _fragments(r)
+            if r.random() < 0.12:
+                frag, label = _doubtful(r, NOTATIONS[notation])
+            else:
+                frag, label = _fragments(r, notation)
             spans.append((len(text), len(text) + len(frag), label))
             text += frag + r.choice([" ", " ", "\n", "\n\n"])
         if wrap:
             spans.append((len(text), len(text) + 6, MARKUP))
             text += "</div>"
-        pages.append((text, spans))
+        pages.append((text, spans, notation))
     return pages
 
 
@@ -323,69 +517,122 @@ def kinds_of(text: str | None) -> list[str]:
 
 # --- rendering ----------------------------------------------------------------------------------
 
-_SPACES = re.compile(r"[ \t\u00a0\u202f]+")
+_SPACES = re.compile(r"(?<=[^\n \t\u00a0\u202f])[ \t\u00a0\u202f]+")
+_LEVELS = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "title": 1}
+_SILENT = {"label", "ref", "cite", "usepackage", "documentclass", "vspace", "hspace", "pagestyle", "bibliography", "includegraphics"}
+
+
+class _Writer:
+    """Turns labelled nodes into text; knows the lists and tables it is in."""
 
+    def __init__(self) -> None:
+        self.lists: list[list] = []  # [ordered, number]
+        self.tables: list[list] = []  # [rows, cells of the row, row open]
+
+    def _item(self) -> str:
+        if not self.lists:
+            return "- "
+        ordered, k = self.lists[-1]
+        self.lists[-1][1] = k + 1
+        return "  " * (len(self.lists) - 1) + (f"{k}. " if ordered else "- ")
+
+    def _end_row(self) -> str:
+        if not self.tables or not self.tables[-1][2]:
+            return ""
+        table = self.tables[-1]
+        table[0] += 1
+        table[2] = False
+        return " |" + ("\n|" + " --- |" * table[1] if table[0] == 1 else "")
 
-def _leaf(n: Node, s: str, lists: list[str]) -> str:
-    """What a markup node itself leaves in the text."""
-    t = n.type
-    if t == "tag":
-        name = n.name
-        close = s.startswith("</")
+    def tag(self, n: Node, s: str) -> str:
+        name, close = n.name, s.startswith("</")
         if name in ("script", "style"):
             return ""
         if name == "br":
-            return "\n"
-        if re.fullmatch(r"h[1-6]", name):
+            return " " if self.tables and self.tables[-1][2] else "\n"
+        if len(name) == 2 and name[0] == "h" and name[1].isdigit():
             return "\n\n" if close else "\n\n" + "#" * int(name[1]) + " "
         if name in ("ul", "ol"):
             if close:
-                if lists:
-                    lists.pop()
+                if self.lists:
+                    self.lists.pop()
             else:
-                lists.append(name)
-            return "\n"
+                start = re.search(r"""(?i)\bstart\s*=\s*["']?(\d{1,9})""", s)
+                self.lists.append([name == "ol", int(start[1]) if start else 1])
+            return "\n" if len(self.lists) == (not close) else ""
         if name == "li":
-            return "" if close else "\n" + "  " * max(0, len(lists) - 1) + ("1. " if lists and lists[-1] == "ol" else "- ")
-        if name in ("td", "th"):
-            return " | " if close else ""
+            return "" if close else "\n" + self._item()
+        if name == "table":
+            if close:
+                end = self._end_row()
+                if self.tables:
+                    self.tables.pop()
+                return end + "\n\n"
+            self.tables.append([0, 0, False])
+            return "\n\n"
         if name == "tr":
-            return "" if close else "\n| "
+            end = self._end_row()
+            if not close:
+                if not self.tables:
+                    self.tables.append([0, 0, False])
+                self.tables[-1][1:] = [0, True]
+                return end + "\n|"
+            return end
+        if name in ("td", "th"):
+            if close or not self.tables:
+                return ""
+            self.tables[-1][1] += 1
+            return " " if self.tables[-1][1] == 1 else " | "
         if name == "blockquote":
             return "\n" if close else "\n> "
         if name == "pre":
             return "\n```\n"
         if name == "code":
             return "" if n.parent is not None and n.parent.name == "pre" else "`"
+        if self.tables and self.tables[-1][2] and name in BLOCKS:
+            return " "
+        if name == "p" and not close and n.parent is not None and n.parent.name == "li":
+            return ""
         return "\n\n" if name in BLOCKS else ""
-    if t == "comment" or t == "escaped" or t == "template":
-        return ""
-    if t == "ref":
-        return html.unescape(s)
-    if t == "env":
+
+    def open(self, n: Node, s: str) -> str:
+        """What a markup element that is looked into leaves before its content."""
+        if n.type == "command" and n.name in _LEVELS:
+            return "\n\n" + "#" * _LEVELS[n.name] + " "
         return ""
-    if t == "item":
-        return "- "
-    if t == "command":
-        name, body = re.match(r"\\([A-Za-z]+)", s).group(1), re.search(r"\{([^{}]*)\}$", s).group(1)
-        level = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "title": 1}.get(name)
-        return f"{'#' * level} {body}" if level else "" if name in ("label", "ref", "cite", "usepackage", "documentclass") else body
-    if t == "wlink":
-        body = s[2:-2]
-        return "" if re.match(r"(?i)(category|kategorie|categoría|catégorie|file|image|datei)\s*:", body) else body.rsplit("|", 1)[-1]
-    if t == "whead":
-        level = len(re.match(r"\s*(=+)", s).group(1)) - 1
-        return "#" * max(1, level) + " " + s.strip().strip("=").strip()
-    if t == "wemph":
-        return s.strip("'")
-    if t == "memph":
-        return re.sub(r"^[*_~]+|[*_~]+$", "", s)
-    if t == "mlink":
-        return re.match(r"!?\[([^\[\]]*)\]", s).group(1)
-    if t == "mlist":
-        lead = re.match(r" *", s).group()
-        return s if s.strip()[0].isdigit() else lead + "- "
-    return s  # fences, inline code, headings, quotes, table rules and formulas are kept
+
+    def close(self, n: Node) -> str:
+        return "\n\n" if n.type == "command" and n.name in _LEVELS else ""
+
+    def leaf(self, n: Node, s: str) -> str:
+        """What a markup node without content of its own leaves in the text."""
+        t = n.type
+        if t == "tag":
+            return self.tag(n, s)
+        if t in ("comment", "escaped", "template"):
+            return ""
+        if t == "ref":
+            return html.unescape(s)
+        if t == "env":
+            begin = s.startswith("\\begin")
+            if n.name in LIST_ENVS:
+                if begin:
+                    self.lists.append([n.name == "enumerate", 1])
+                elif self.lists:
+                    self.lists.pop()
+                return ""
+            return "\n```\n" if n.name in CODE_ENVS else "\n$$\n" if n.name in MATH_ENVS else ""
+        if t == "item":
+            return self._item()
+        if t == "command":
+            return s
+        if t == "wlink":
+            return ""
+        if t == "whead":
+            return "#" * max(1, len(re.match(r"\s*(=+)", s).group(1)) - 1) + " " + s.strip().strip("=").strip()
+        if t == "mlist":
+            return s if s.strip()[0].isdigit() else s[: len(s) - len(s.lstrip())] + "- "
+        return s  # fences, inline code, headings, quotes, table rules and formulas are kept
 
 
 def clean_text(text: str | None) -> str | None:
@@ -393,6 +640,9 @@ def clean_text(text: str | None) -> str | None:
     return analyse(text)[0]
 
 
+_HIDDEN_LINK = re.compile(r"(?i)\[\[(?:category|kategorie|categoría|catégorie|file|image|datei)\s*:")
+
+
 def analyse(text: str | None) -> tuple[str | None, list[str]]:
     """(clean text, kinds of markup)."""
     if not text:
@@ -401,39 +651,57 @@ def analyse(text: str | None) -> tuple[str | None, list[str]]:
         return _tidy(text), []
     order = model().label(parse(text))
     kinds = sorted({KIND[n.type] for n in order[1:] if n.label == MARKUP})
-    out, at = [], 0
-    lists: list[str] = []
-    hidden = 0
-    for n in sorted(order[1:], key=lambda x: (x.start, x.end)):
-        if n.start < at:
+    # (start, end, node, whether it opens): elements that are looked into give two parts
+    parts: list[tuple[int, int, int, Node]] = []
+    for n in order[1:]:
+        if n.inner is None:
+            parts.append((n.start, n.end, 0, n))
+        elif n.type == "wlink" and n.label == MARKUP and _HIDDEN_LINK.match(text, n.start):
+            parts.append((n.start, n.end, 0, n))
+        elif n.type == "command" and n.label == MARKUP and n.name in _SILENT:
+            parts.append((n.start, n.end, 3, n))
+        else:
+            parts += [(n.start, n.inner[0], 1, n), (n.inner[1], n.end, 2, n)]
+    parts.sort(key=lambda p: (p[0], p[1]))
+    write = _Writer()
+    out, at, hidden = [], 0, False
+    for start, end, part, n in parts:
+        if start < at:
             continue
-        gap = text[at : n.start]
-        out.append("" if hidden else gap)
-        s = text[n.start : n.end]
+        if not hidden:
+            out.append(text[at:start])
+        s = text[start:end]
         if n.type == "tag" and n.name in ("script", "style") and n.label == MARKUP:
-            hidden = 0 if s.startswith("</") else 1
-        if hidden:
+            hidden = not s.startswith("</")
+        if hidden or part == 3:
             pass
         elif n.label == MARKUP:
-            out.append(_leaf(n, s, lists))
+            out.append(write.leaf(n, s) if part == 0 else write.open(n, s) if part == 1 else write.close(n))
         elif n.label == CODE and n.type == "ref":
             out.append(html.unescape(s))
         else:
             out.append(s)
-        at = n.end
+        at = end
     if not hidden:
         out.append(text[at:])
     return _tidy("".join(out)), kinds
 
 
+_FENCED = re.compile(r"(^```[^\n]*\n.*?(?:^```[ \t]*$|\Z))", re.M | re.S)
+_UNSEEN = re.compile(r"[\u200b\u200c\u200d\u2060\ufeff]")
+_LEAD = re.compile(r"^[ \t\u00a0\u202f]++(?!(?:[-*+]|\d{1,9}[.)])[ \t])", re.M)
+_TRAIL = re.compile(r"(?<=[^\n \t\u00a0\u202f])[ \t\u00a0\u202f]+$|^[ \t\u00a0\u202f]+$", re.M)
+_GAPS = re.compile(r"\n{3,}")
+
+
 def _tidy(text: str) -> str:
-    """Invisible characters and superfluous white space go, outside code."""
-    parts = re.split(r"(^```[^\n]*\n.*?(?:^```[ \t]*$|\Z))", text, flags=re.M | re.S)
+    """Invisible characters and superfluous white space go, outside code; the indent of list items stays."""
+    parts = _FENCED.split(text) if "```" in text else [text]
     for i in range(0, len(parts), 2):
-        p = re.sub(r"[\u200b\u200c\u200d\u2060\ufeff]", "", parts[i])
+        p = _UNSEEN.sub("", parts[i])
         p = _SPACES.sub(" ", p)
-        p = re.sub(r" ?\n ?(?! )", "\n", p)
-        parts[i] = re.sub(r"\n{3,}", "\n\n", p)
+        p = _LEAD.sub("", _TRAIL.sub("", p))
+        parts[i] = _GAPS.sub("\n\n", p)
     return "".join(parts).strip()
 
 

@@ -224,36 +224,6 @@ def test_clean_text():
     assert markup.clean_text(None) is None
 
 
-def test_marginals_equal_enumeration():
-    from itertools import product
-
-    m = markup.model()
-    root = markup.parse("<div>a **b** <code>x &lt; y</code></div>")
-    order = m.label(root)
-    got = [n.label for n in order[1:]]
-    total = np.zeros((len(order), 3))
-    at = {id(n): i for i, n in enumerate(order)}
-    for labels in product(range(3), repeat=len(order) - 1):
-        full = (0, *labels)
-        p = 1.0
-        for n in order[1:]:
-            p *= m._own(n)[full[at[id(n)]]] * m._edge_table.get(markup._edge(n.parent, n), np.ones((3, 3)))[full[at[id(n.parent)]], full[at[id(n)]]]
-        for i, v in enumerate(full):
-            total[i, v] += p
-    assert got == total.argmax(axis=1)[1:].tolist()
-
-
-def test_markup_held_out():
-    wrong = n = 0
-    for text, spans in markup.labelled_pages(120, seed=99):
-        order = markup.model().label(markup.parse(text))
-        for x in order[1:]:
-            want = next((label for a, b, label in spans if a <= x.start < b), markup.PLAIN)
-            n += 1
-            wrong += (x.label == markup.PLAIN) != (want == markup.PLAIN)
-    assert wrong / n < 0.02
-
-
 # --- pairs ---
 
 
