@@ -37,7 +37,7 @@ from gistmap.runtime import spread
 MARKUP, PLAIN, CODE = 0, 1, 2
 #: What the root of a text can be.
 NOTATIONS = ("plain", "html", "markdown", "wiki", "latex")
-TRAIN_PAGES = 900
+TRAIN_PAGES = 1_500
 
 # Element names of HTML that occur in exported chats.
 TAGS = set("a abbr address article aside b blockquote body br button caption center cite code col colgroup dd del details div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main mark meta nav ol option p pre q s samp script section select small span strike strong style sub summary sup svg table tbody td textarea tfoot th thead title tr tt u ul var video".split())
@@ -370,6 +370,7 @@ class TreeModel:
         for k, v in edges.items():
             if k in NOTATIONS:
                 ratio = (v / per_notation) / (v.sum(axis=0) / per_notation.sum())
+                ratio[:, CODE] = 1e-6  # nothing stands in code at the top
             else:
                 ratio = (v / v.sum(axis=1, keepdims=True)) / (total / total.sum())
             self.edges[k] = [tuple(float(x) for x in row) for row in ratio]
