@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from gistmap.runtime import spread
 
 MARKUP, PLAIN, CODE = 0, 1, 2
+#: Nodes of a tree whose labels are remembered, and how many such trees a process keeps.
+KNOWN_NODES, KNOWN_TREES = 200, 20_000
 #: What the root of a text can be.
 NOTATIONS = ("plain", "html", "markdown", "wiki", "latex")
 TRAIN_PAGES = 1_500
@@ -377,6 +379,7 @@ class TreeModel:
         self.shapes = {k: tuple(float(x) for x in v / v.sum()) for k, v in shapes.items()}
         self.types = {k: tuple(float(x) for x in v / v.sum()) for k, v in types.items()}
         self.prior = [math.log(x) for x in prior / prior.sum()]
+        self.known: dict[tuple, list[int]] = {}
         return self
 
     def own(self, n: Node) -> tuple[float, float, float]:
@@ -390,6 +393,25 @@ class TreeModel:
     def label(self, root: Node) -> list[Node]:
         """Sum-product up and down; sets and returns the nodes with their most probable labels."""
         order = nodes_of(root)
+        if len(order) > KNOWN_NODES:
+            self._infer(order)
+            return order
+        # trees of the same shape have the same labels; those of small trees are remembered
+        at = {id(n): i for i, n in enumerate(order)}
+        key = tuple([(n.shape, at[id(n.parent)], n.name) for n in order[1:]])
+        labels = self.known.get(key)
+        if labels is None:
+            self._infer(order)
+            if len(self.known) >= KNOWN_TREES:
+                self.known.clear()
+            self.known[key] = [n.label for n in order[1:]]
+        else:
+            for n, label in zip(order[1:], labels):
+                n.label = label
+        return order
+
+    def _infer(self, order: list[Node]) -> None:
+        """Upward and downward messages over the nodes of a tree, parents first; sets the labels."""
         below = {id(n): self.own(n) for n in order[1:]}
         up: dict[int, tuple] = {}
         top = list(self.prior)
@@ -425,7 +447,6 @@ class TreeModel:
             s = x + y + z
             full[id(n)] = (x / s, y / s, z / s)
             n.label = MARKUP if x >= y and x >= z else PLAIN if y >= z else CODE
-        return order
 
 
 # --- labelled pages -----------------------------------------------------------------------------
@@ -692,11 +713,14 @@ _FENCED = re.compile(r"(^```[^\n]*\n.*?(?:^```[ \t]*$|\Z))", re.M | re.S)
 _UNSEEN = re.compile(r"[\u200b\u200c\u200d\u2060\ufeff]")
 _LEAD = re.compile(r"^[ \t\u00a0\u202f]++(?!(?:[-*+]|\d{1,9}[.)])[ \t])", re.M)
 _TRAIL = re.compile(r"(?<=[^\n \t\u00a0\u202f])[ \t\u00a0\u202f]+$|^[ \t\u00a0\u202f]+$", re.M)
+_UNTIDY = re.compile(r"[ \t\u00a0\u202f][ \t\u00a0\u202f\n]|\n[ \n\t\u00a0\u202f]|[\t\u00a0\u202f\u200b\u200c\u200d\u2060\ufeff]")
 _GAPS = re.compile(r"\n{3,}")
 
 
 def _tidy(text: str) -> str:
     """Invisible characters and superfluous white space go, outside code; the indent of list items stays."""
+    if not _UNTIDY.search(text):
+        return text.strip()
     parts = _FENCED.split(text) if "```" in text else [text]
     for i in range(0, len(parts), 2):
         p = _UNSEEN.sub("", parts[i])
