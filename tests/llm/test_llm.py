@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gistmap.llm import canonical, conversations, density, markup, packing, pairs, pii, termfreq, tokenizer
+from gistmap.llm import canonical, conversations, density, markup, packing, pairs, termfreq, tokenizer
 
 
 # --- tokenizer ---
@@ -279,34 +279,6 @@ def test_item_cut_inside_a_word_is_truncated_however_often(spark):
     assert entry_defects(spark, [*cut, "Do this:\n- Dig\n- Water the bed"]) == {(i, "truncated") for i in range(3)}
 
 
-# --- personal information ---
-
-
-@pytest.fixture(scope="module")
-def detector():
-    return pii.Detector(["Albrina", "Corvane"]).fit(900)
-
-
-def test_held_out_spans(detector):
-    hit = found = true = 0
-    texts = pii.labelled_texts(120, ["Albrina", "Corvane"], seed=77)
-    for (text, want), spans in zip(texts, detector.find_all([t for t, _ in texts])):
-        hit += len(set(spans) & want)
-        found += len(spans)
-        true += len(want)
-    assert hit / found > 0.95 and hit / true > 0.93
-
-
-def test_redaction(detector, spark):
-    t = "My colleague Corvane Testman asked. Call me on +49 30 23125 118 or write to a.b@mail.example. Order no. 10741277."
-    assert pii._redacted(t, detector.find_all([t])[0]) == "My colleague [NAME] asked. Call me on [PHONE] or write to [EMAIL]. Order no. 10741277."
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, t)], "doc_id bigint, text string")
-    names = spark.createDataFrame([("Corvane",), (None,)], "given_name string")
-    out = {r.doc_id: r.text for r in pii._spans(docs, detector, "text", True).collect()}
-    assert out[1] is None and out[2] == "" and "[PHONE]" in out[3]
-    assert names.count() == 2
-
-
 def test_queries_registered():
     from gistmap.llm.queries import ORACLES, QUERIES
 
