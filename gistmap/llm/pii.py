@@ -39,7 +39,11 @@ MAX_NAMES, TRAIN_NAMES = 500_000, 2_000
 
 _AT = r"(?:@|[ ]?[\[(][ ]?at[ ]?[\])][ ]?|[ ](?:AT|at)[ ])"
 _DOT = r"(?:\.|[ ]?[\[(][ ]?(?:dot|punkt|point|punto)[ ]?[\])][ ]?|[ ](?:DOT|dot|punkt|punto)[ ])"
-EMAIL = re.compile(rf"(?<![\w.+@-])[A-Za-z0-9](?:[\w.+%-]*[A-Za-z0-9_])?{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*", re.I)
+#: The sign between user and host; the user is the run of letters before it, the host what matches after.
+_SIGN, _DOT_SIGN = re.compile(_AT, re.I), re.compile(_DOT, re.I)
+_USER = re.compile(r"[\w.+%-]*[A-Za-z0-9_]$")
+_HOST = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*", re.I)
+_NOT_USER = re.compile(r"[^\w.+%-]")
 
 _EXT = r"(?:[ ]?,?[ ]?(?:ext\.?|extension|x|durchwahl|poste|int\.|app\.)[ ]?\d{1,5}(?!\d))?"
 PHONES = [
@@ -85,7 +89,8 @@ NAMES = [
     ("family_first", rf"{_FAM}, {_WORD}(?: [A-ZÀ-ÖØ-Þ]\.)?"),
 ]
 _NAMES = [(n, re.compile(rf"(?<![\w@.+\-’'])(?:{p})(?![\w@+]|[.\-_+]\w|-)")) for n, p in NAMES]
-_STARTS = re.compile(r"(?<![\w@.+\-’'])(?:[A-ZÀ-ÖØ-ÞĀ-Ž]|(?:van|von|de) )")
+# a name has a second word that is capitalised or a particle
+_STARTS = re.compile(r"(?<![\w@.+\-’'])(?:[A-ZÀ-ÖØ-ÞĀ-Ž]\S*|van|von|de) (?=[A-ZÀ-ÖØ-ÞĀ-Ž]|(?:van|von|vom|zu|de|del|della|di|da|du|le|la|der|den|los) )")
 
 # Words that stand around names, in English, German, French and Spanish.
 TITLES = set("dr dr. herrn mr mr. mrs mrs. ms ms. prof prof. herr herr frau mme m. mlle monsieur madame señor señora sr. sra. don doña sir".split())
@@ -103,12 +108,15 @@ _ROLES = frozenset(w.lower() for v in ROLES.values() for w in v)
 _GIVEN, _FAMILY, _THINGS = frozenset(w.lower() for w in GIVEN), frozenset(w.lower() for w in FAMILY), frozenset(w.lower() for w in THINGS)
 
 
-def _scan(pattern: re.Pattern, text: str) -> Iterator[re.Match]:
-    """Matches from every place a span may start, overlapping ones included."""
-    at = 0
-    while (m := pattern.search(text, at)) is not None:
-        yield m
-        at = m.start() + 1
+# places where numbers start, and words without which an address that ends in its number cannot be
+_PHONE_AT = re.compile(r"(?<![\w+@.])[+(]?\d")
+_ID_AT = re.compile(r"(?<![\w@.+\-])(?:[A-Z]{1,6}[\- ]?)?(\d)")
+_NUMBER_AT, _DIGIT = re.compile(r"\b\d"), re.compile(r"\d")
+_NEEDS = {
+    "number_last": ("straße ", "strasse ", "str. ", "weg ", "allee ", "platz ", "gasse ", "ring ", "damm ", "ufer ", "straat ", "gracht ", "laan ", "plein "),
+    "two_words": ("Straße ", "Strasse ", "Str. ", "Weg ", "Allee ", "Platz ", "Gasse ", "Ring ", "Damm ", "Ufer ", "Am ", "Im ", "Zum ", "Zur ", "An der ", "Auf de", "Unter den ", "In der ", "Hinter der ", "Vor dem "),
+    "calle": ("alle", "venida", "vda", "Av.", "aseo", "laza", "amino", "arrera", "onda", "C/", "Rua", "Via", "orso", "iazza"),
+}
 
 
 def _cut_groups(s: str) -> Iterator[str]:
@@ -123,33 +131,53 @@ def _cut_groups(s: str) -> Iterator[str]:
 def candidates(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, generator) of every span proposed; spans overlap."""
     out: dict[tuple[str, int, int], str] = {}
-    for m in _scan(EMAIL, text):
-        out.setdefault(("email", m.start(), m.end()), "full")
+    for sign in _SIGN.finditer(text):
+        # the run of letters before the sign, found backwards word by word
+        at = sign.start()
+        while at and not _NOT_USER.match(text, at - 1):
+            at -= 1
+        while at < sign.start() and not (text[at].isascii() and text[at].isalnum()):
+            at += 1
+        host = _HOST.match(text, sign.end())
+        if host is None or not _USER.match(text[at : sign.start()]) or text[at - 1 : at] in tuple(".+-@") and at:
+            continue
+        out.setdefault(("email", at, host.end()), "full")
         # a spelled-out domain may have run into the sentence: every end after a dot counts
-        dots = list(re.finditer(_DOT, m.group(), re.I))
-        for d in dots[1:]:
-            out.setdefault(("email", m.start(), m.start() + d.start()), "short")
-    if any(c.isdigit() for c in text):
-        for name, p in _PHONES:
-            for m in p.finditer(text):
-                if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "+@."):
+        for d in list(_DOT_SIGN.finditer(text, sign.end(), host.end()))[1:]:
+            out.setdefault(("email", at, d.start()), "short")
+    if _DIGIT.search(text):
+        reach = dict.fromkeys([n for n, _ in _PHONES], 0)
+        for anchor in _PHONE_AT.finditer(text):
+            for name, p in _PHONES:
+                if anchor.start() < reach[name] or (m := p.match(text, anchor.start())) is None:
                     continue
+                reach[name] = m.end()
                 spans = _cut_groups(m.group()) if name in ("intl", "run") else (m.group(),)
                 for s in spans:
                     if sum(c.isdigit() for c in s) >= 7:
                         out.setdefault(("phone", m.start(), m.start() + len(s)), name)
-        for name, p in _IDS:
-            for m in p.finditer(text):
-                out.setdefault(("id_number", m.start(), m.end()), name)
+        reach = dict.fromkeys([n for n, _ in _IDS], 0)
+        for anchor in _ID_AT.finditer(text):
+            # with the letters before the number, and without
+            for at in sorted({anchor.start(), anchor.start(1)}):
+                for name, p in _IDS:
+                    if at >= reach[name] and (m := p.match(text, at)) is not None:
+                        reach[name] = m.end()
+                        out.setdefault(("id_number", m.start(), m.end()), name)
         for name, p in _ADDRESSES:
-            for m in p.finditer(text):
+            if name not in _NEEDS:
+                found = [m for anchor in _NUMBER_AT.finditer(text) if (m := p.match(text, anchor.start()))]
+            else:
+                found = p.finditer(text) if any(w in text for w in _NEEDS[name]) else ()
+            for m in found:
                 # a full stop may belong to an abbreviation or end the sentence
                 out.setdefault(("address", m.start(), m.end()), name)
                 if m.group().endswith("."):
                     out.setdefault(("address", m.start(), m.end() - 1), name)
+    starts = [m.start() for m in _STARTS.finditer(text)]
     for name, p in _NAMES:
-        for s in _STARTS.finditer(text):
-            m = p.match(text, s.start())
+        for at in starts:
+            m = p.match(text, at)
             if m:
                 out.setdefault(("name", m.start(), m.end()), name)
     return [(k, a, b, n) for (k, a, b), n in out.items()]
