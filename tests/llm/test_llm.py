@@ -100,12 +100,52 @@ def test_bk_tree_equals_brute_force():
     assert canonical.levenshtein("kitten", "sitting") == 3 and canonical.typo_distance("ab", "ba") == 1
 
 
-def test_shards_agree(spark):
-    rows = spark.createDataFrame([(1, "syntax serialisation"), (2, None), (3, " "), (4, "zzz"), (5, "browser boundary")], "n int, term string")
-    ref = spark.createDataFrame(REF, "term_id bigint, canonical string, aliases array<string>")
-    want = {1: 1, 2: None, 3: None, 4: -1, 5: 3}
-    for most in (1_000, 1):
-        assert {r.n: r.term_id for r in canonical.match_terms(rows, ref, max_broadcast=most).collect()} == want
+def test_aliases_may_be_misspelt():
+    m = canonical.Matcher([(1, "kubernetes", ["container orchestration", "kube"]), (2, "kafka", []), (3, "redis", []), (4, "binary search tree", []), (5, "binary star", []), (6, "corn starch", [])])
+    assert m.find("container orchestrtion")[1] == 1 and m.find("orchestration, container")[1] == 1 and m.find("kubs")[1] == -1
+    assert m.find("kafca")[1] == 2 and m.find("redsi")[1] == 3 and m.find("binary serch tree")[1] == 4
+    assert m.find("binary starch tree")[1] == -1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_any_number_of_shards_gives_the_same(spark, seed):
+    r = random.Random(seed)
+    words = ["syntax", "packet", "binary", "search", "starch", "tree", "budget", "signal", "filter", "matrix", "kernel", "session", "sessions", "session-id", "star"]
+    ref = [(i, " ".join(r.sample(words, r.randint(1, 3))), [" ".join(r.sample(words, 2))] if r.random() < 0.3 else None) for i in range(40)]
+
+    def spoilt(t: str) -> str:
+        t = list(t)
+        for _ in range(r.randint(0, 2)):
+            k = r.randrange(len(t))
+            x = r.random()
+            if x < 0.3:
+                t[k] = r.choice("aest")
+            elif x < 0.6:
+                t.insert(k, r.choice("aest"))
+            elif x < 0.8 and k:
+                t[k - 1], t[k] = t[k], t[k - 1]
+            elif len(t) > 3:
+                del t[k]
+        return "".join(t)
+
+    terms = [spoilt(r.choice(ref)[1]) for _ in range(150)] + [spoilt(" ".join(r.sample(words, 2))) for _ in range(80)] + [None, " ", "binary starch tree", "packet ses."]
+    rows = spark.createDataFrame(list(enumerate(terms)), "n int, term string")
+    frame = spark.createDataFrame(ref, "term_id bigint, canonical string, aliases array<string>")
+    got = [{x.n: x.term_id for x in canonical.match_terms(rows, frame, max_broadcast=most).collect()} for most in (1_000, r.randint(5, 20), 3)]
+    assert got[0] == got[1] == got[2]
+
+
+def test_a_search_is_spared_only_where_nothing_can_be_found():
+    r = random.Random(9)
+    words = ["".join(r.choice("abcde") for _ in range(r.randint(4, 8))) for _ in range(40)]
+    ref = [(i, " ".join(r.sample(words, r.randint(1, 2))), None) for i in range(60)]
+    m, full = canonical.Matcher(ref), canonical.Matcher(ref)
+    full._plausible = lambda words: True
+    for _ in range(400):
+        t = list(r.choice(ref)[1])
+        for _ in range(2):
+            t[r.randrange(len(t))] = r.choice("abcde ")
+        assert m.find("".join(t)) == full.find("".join(t))
 
 
 # --- conversations ---
