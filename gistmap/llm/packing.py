@@ -2,9 +2,10 @@
 
 Items are sized in tokens of a public tokenizer. An item above the capacity is cut into full windows and
 a rest (only such items are cut); everything else is placed whole. Windows are filled by deficit
-round-robin: every source has a queue and earns, per window, its share of the capacity; the
-source owed most is served first with the item that, together with the best one to follow it, leaves least
-room. Unused credit stays with the source for the next windows.
+round-robin: every source has a queue and earns, per window, its share of all tokens that are packed; the
+source owed most is served, with the item that leaves least room for others to waste. Only the last part of a window
+goes to whichever source closes it well. Every token given is paid with credit, and credit stays
+with the source for the next windows, shards and rounds, so a window that one large item fills is made up for.
 
 Items are spread by hash over shards of bounded size, packed shard by shard; what a shard could not fill well
 (and the credit its sources are still owed) is carried to a second round, and so on, until one shard
@@ -20,7 +21,7 @@ import bisect
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistmap.llm.tokenizer import encode_texts
@@ -28,24 +29,25 @@ from gistmap.runtime import scratch_table
 
 #: Items per shard, the fill from which a window is final before the last round, and candidates tried per pick.
 SHARD, FULL, TRIED = 20_000, 0.985, 12
+#: Share of a window up to which fit decides between sources; before, their credit does.
+LATE = 0.2
 #: Kinds of windows that can be filled in one run.
 MAX_WINDOWS = 200
 
-ITEM = "window_name string, capacity int, shard int, source string, size int, doc_id bigint, part int, start bigint"
 PLACED = "window_name string, round int, shard int, window int, slot int, source string, size int, doc_id bigint, part int, start bigint, final boolean, credit double"
 
 
 class Queues:
     """One queue per source, sorted by size."""
 
-    def __init__(self, items: list[tuple[int, int, str]], credit: dict[str, float]):
+    def __init__(self, items: list[tuple[int, int, str]], credit: dict[str, float], shares: dict[str, float] | None = None):
         self.by: dict[str, list[tuple[int, int]]] = {}
         for size, at, source in items:
             self.by.setdefault(source, []).append((size, at))
         for q in self.by.values():
             q.sort()
         total = sum(s for s, _, _ in items) or 1
-        self.share = {k: sum(s for s, _ in q) / total for k, q in self.by.items()}
+        self.share = {k: sum(s for s, _ in q) / total if shares is None else shares[k] for k, q in self.by.items()}
         self.credit = {k: credit.get(k, 0.0) for k in self.by}
         self.sizes = sorted(s for s, _, _ in items)
 
@@ -72,23 +74,33 @@ class Queues:
         return sorted({q[i][0] for i in range(hi - 1, max(-1, hi - 5), -1)} | {q[i][0] for i in range(hi - 1, -1, -step)}, reverse=True)
 
 
-def fill_windows(items: list[tuple[int, int, str]], capacity: int, credit: dict[str, float]) -> tuple[list[list[int]], dict[str, float]]:
-    """Windows (lists of item numbers) and the credit left, for items (size, number, source) that fit."""
-    q = Queues(items, credit)
+def fill_windows(items: list[tuple[int, int, str]], capacity: int, credit: dict[str, float], shares: dict[str, float] | None = None) -> tuple[list[list[int]], dict[str, float]]:
+    """Windows (lists of item numbers) and the credit left, for items (size, number, source) that fit.
+    ``shares``: of each source among all tokens; those of the items if null.
+
+    While much of a window is free the source that is owed most is served; its item is the one after which two more items (of any
+    source) can leave least room. In the last part of the window, where few sizes fit, sources are tried in the order of what
+    they are owed until one closes the window well. What a source is given too much or too little is its credit in the next windows.
+    """
+    q = Queues(items, credit, shares)
     windows: list[list[int]] = []
+    good = max(1, capacity // 256)
     while q.sizes:
         for s, share in q.share.items():
-            q.credit[s] = min(q.credit[s] + share * capacity, 8.0 * capacity)
+            q.credit[s] += share * capacity
         room, window = capacity, []
-        # the largest item waiting opens the window: it is the hardest to place later
-        biggest = q.sizes[-1]
-        opener = max((s for s, x in q.by.items() if x and x[-1][0] == biggest), key=lambda s: (q.credit[s], s))
-        window.append(q.take(opener, biggest))
-        room -= biggest
         while room and q.sizes and q.sizes[0] <= room:
-            best = None
             order = sorted((s for s, x in q.by.items() if x and x[0][0] <= room), key=lambda s: (-q.credit[s], s))
-            for rank, s in enumerate(order):
+            if not window:
+                # its largest item opens the window: it is the hardest to place later
+                s = order[0]
+                size = q.fitting(s, room)[0]
+                window.append(q.take(s, size))
+                room -= size
+                continue
+            free = room > LATE * capacity
+            best = None
+            for rank, s in enumerate(order[:1] if free else order):
                 for size in q.fitting(s, room):
                     left = room - size
                     after = q.largest(left) if left else 0
@@ -98,10 +110,10 @@ def fill_windows(items: list[tuple[int, int, str]], capacity: int, credit: dict[
                         after = q.sizes[i - 1] if i else 0
                     rest = left - after
                     third = q.largest(rest) if rest and after else 0
-                    score = (rest - third, rank, -size)
+                    score = (max(0, rest - third - good), rank, -size)
                     if best is None or score < best[0]:
                         best = (score, s, size)
-                if best is not None and best[0][0] <= max(1, capacity // 256):
+                if best is not None and best[0][0] == 0:
                     break
             _, s, size = best
             window.append(q.take(s, size))
@@ -118,7 +130,9 @@ def _pack(round_: int, last: bool):
         capacity, shard = int((pdf if len(pdf) else owed)["capacity"].iat[0]), int((pdf if len(pdf) else owed)["shard"].iat[0])
         credit = owed.groupby("source")["start"].sum().to_dict() if len(owed) else {}
         pdf = pdf.sort_values(["doc_id", "part"], ignore_index=True)
-        windows, left = fill_windows(list(zip(pdf["size"].tolist(), range(len(pdf)), pdf["source"].tolist())), capacity, credit)
+        shares = dict(zip(pdf["source"], pdf["share"].astype(float)))
+        windows, left = fill_windows(list(zip(pdf["size"].tolist(), range(len(pdf)), pdf["source"].tolist())), capacity, credit, shares)
+        left = credit | left
         sizes = pdf["size"].to_numpy()
         rows, flags = [], []
         for w, members in enumerate(windows):
@@ -166,11 +180,14 @@ def pack_documents(documents: DataFrame, windows: DataFrame, *, path: str | None
     waiting = rest.select("window_name", "capacity", F.lit(0).alias("shard"), "source", "size", "doc_id", "part", "start")
     result, round_ = whole, 0
     n = sized.count()
+    # the target: each source's part of the tokens that are still to be placed in windows of a kind
+    shares = rest.groupBy("window_name", "source").agg(F.sum("size").alias("all"))
+    shares = scratch_table(shares.select("window_name", "source", (F.col("all") / F.sum("all").over(Window.partitionBy("window_name"))).alias("share")), "shares")
     while True:
         shards = max(1, math.ceil(n / shard))
         last = shards == 1
         waiting = waiting.withColumn("shard", F.when(F.col("doc_id").isNull(), F.col("shard") % shards).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(round_)), F.lit(shards))).cast("int"))
-        placed = waiting.groupBy("window_name", "shard").applyInPandas(_pack(round_, last), PLACED)
+        placed = waiting.join(shares, ["window_name", "source"]).groupBy("window_name", "shard").applyInPandas(_pack(round_, last), PLACED)
         placed = scratch_table(placed, "packed")
         done = placed.where(F.col("final")).select(
             "window_name", F.concat_ws("-", F.col("round"), F.col("shard"), F.col("window")).alias("window_id"), "slot", "doc_id", "part",
@@ -189,10 +206,26 @@ def pack_documents(documents: DataFrame, windows: DataFrame, *, path: str | None
 
 
 def packing_report(placed: DataFrame, windows: DataFrame) -> DataFrame:
-    """(window_name, windows, tokens, least_windows, fill): how far packing is from the bound of the token sum."""
-    per = placed.groupBy("window_name").agg(F.countDistinct("window_id").alias("windows"), F.sum("n_tokens").alias("tokens"))
-    per = per.join(F.broadcast(windows.select("window_name", F.col("capacity_tokens").alias("capacity"))), "window_name")
-    return per.select(
-        "window_name", "windows", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_windows"),
-        F.round(F.col("tokens") / (F.col("windows") * F.col("capacity")), 4).alias("fill"),
+    """(window_name, windows, tokens, least_windows, fill, mean_deviation, worst_deviation, large_share, bare_deviation): how far packing is from
+    the bound of the token sum, and windows from the mixture of all tokens.
+
+    The deviation of a window is half the sum of the differences of its sources' shares from the target. ``large_share`` is the
+    share of windows of which one item fills more than half; no order can bring these near the target.
+    ``bare_deviation`` is the mean deviation of the others.
+    """
+    whole = placed.groupBy("window_name", "source").agg(F.sum("n_tokens").alias("all"))
+    whole = whole.select("window_name", "source", (F.col("all") / F.sum("all").over(Window.partitionBy("window_name"))).alias("target"))
+    got = placed.groupBy("window_name", "window_id", "source").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("largest"))
+    size = F.sum("n").over(Window.partitionBy("window_name", "window_id"))
+    got = got.withColumn("size", size).join(F.broadcast(windows.select("window_name", F.col("capacity_tokens").alias("capacity"))), "window_name").join(whole, ["window_name", "source"])
+    # a source that is not in the window is off by its whole target
+    near = (F.sum(F.abs(F.col("n") / F.col("size") - F.col("target"))) + 1 - F.sum("target")) / 2
+    per = got.groupBy("window_name", "window_id", "capacity").agg(near.alias("deviation"), F.first("size").alias("size"), F.max("largest").alias("largest"))
+    large = F.col("largest") * 2 > F.col("capacity")
+    out = per.groupBy("window_name", "capacity").agg(
+        F.count("*").alias("windows"), F.sum("size").alias("tokens"), F.avg("deviation").alias("mean"), F.max("deviation").alias("worst"), F.avg(large.cast("int")).alias("large"), F.avg(F.when(~large, F.col("deviation"))).alias("bare")
+    )
+    return out.select(
+        "window_name", "windows", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_windows"), F.round(F.col("tokens") / (F.col("windows") * F.col("capacity")), 4).alias("fill"),
+        F.round("mean", 4).alias("mean_deviation"), F.round("worst", 4).alias("worst_deviation"), F.round("large", 4).alias("large_share"), F.round("bare", 4).alias("bare_deviation"),
     )

@@ -223,6 +223,26 @@ def test_windows_are_full_and_whole():
     assert len(windows) <= 1.05 * sum(s for s, _, _ in items) / 100 + 1
 
 
+def test_what_a_source_is_owed_stays_bounded():
+    r = random.Random(5)
+    items = [(r.randint(5, 160), i, r.choices("abc", (66, 25, 9))[0]) for i in range(9_000)]
+    windows, _ = packing.fill_windows(items, 2_048, {})
+    total = sum(s for s, _, _ in items)
+    share = {x: sum(s for s, _, y in items if y == x) / total for x in "abc"}
+    given, all_, owed, off = dict.fromkeys("abc", 0), 0, 0.0, []
+    for w in windows:
+        mine = dict.fromkeys("abc", 0)
+        for m in w:
+            mine[items[m][2]] += items[m][0]
+        for x in "abc":
+            given[x] += mine[x]
+        all_ += sum(mine.values())
+        owed = max(owed, *(abs(given[x] - share[x] * all_) for x in "abc"))
+        off.append(sum(abs(mine[x] / sum(mine.values()) - share[x]) for x in "abc") / 2)
+    # at no time is a source owed more than one window, every whole window is near the mixture, and nearly nothing is wasted
+    assert owed <= 2_048 and max(off[:-3]) < 0.25 and sum(off) / len(off) < 0.06 and total / (len(windows) * 2_048) > 0.98
+
+
 def test_pack_rounds_and_splits(spark):
     r = random.Random(8)
     rows = [(i, " ".join(["word"] * r.randint(1, 60)), r.choice(["x", "y", None])) for i in range(300)] + [(900, "word " * 500, "x"), (901, None, "x"), (902, "", "y")]
