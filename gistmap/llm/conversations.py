@@ -1,8 +1,11 @@
 """Conversations rebuilt from loose message rows, read as an event log.
 
 1. Retries fold: rows alike in chat, number, role, text and sending time are one message (its first arrival).
+   The folded messages, without their texts, are written once and read by every later step.
 2. A message without number gets the free place its sending time points to. Only the ends of gapless
-   runs of numbers and the unnumbered messages meet for that; both are few, whatever the chat's length.
+   runs of numbers and the unnumbered messages meet for that. They meet in blocks of time, and what a block needs from the
+   others (the nearest ends, the number of messages before it in a gap) is one row per block, so a chat of very many unnumbered messages
+   is spread too.
 3. Messages fold to one state per (chat, number), numbers to blocks of 512, blocks to larger blocks,
    and these to the chat. Each state is a small summary and the fold is associative, so a chat that
    holds a third of all rows is spread over as many tasks as it has blocks.
@@ -20,8 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gistmap.runtime import scratch_table
+
 BLOCK = 512
 LEVELS = 3
+#: Events of one chat that are ordered in one piece (were they evenly spread in time).
+EVENTS = 4_096
 # Role spellings.
 ROLES = {"user": "user", "human": "user", "assistant": "assistant", "model": "assistant", "ai": "assistant", "system": "system"}
 
@@ -53,6 +60,11 @@ def fold_retries(messages: DataFrame) -> DataFrame:
     return rows.select("chat_id", "turn_index", F.when(~F.col("role").startswith("?"), F.col("role")).alias("role"), "key", "said", "sent_at", F.col("first.message_id").alias("message_id"))
 
 
+def folded_table(messages: DataFrame) -> DataFrame:
+    """The folded messages, written once: the steps after read them several times."""
+    return scratch_table(fold_retries(messages), "messages")
+
+
 def place_unnumbered(folded: DataFrame) -> DataFrame:
     """Give every message without ``turn_index`` its number.
 
@@ -73,18 +85,31 @@ def place_unnumbered(folded: DataFrame) -> DataFrame:
     starts = places.join(prv, key, "left_anti").select("chat_id", F.col("lo").alias("at"), F.lit(2).alias("kind"), "turn_index", F.lit(None).cast("bigint").alias("message_id"))
     asks = loose.select("chat_id", F.col("sent_at").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("turn_index"), "message_id")
     events = ends.unionByName(starts).unionByName(asks)
-    timed = events.where(F.col("at").isNotNull())
-    order = Window.partitionBy("chat_id").orderBy("at", "kind", "turn_index", "message_id")
-    back = order.rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy("chat_id").orderBy(F.desc("at"), F.desc("kind"), F.desc("turn_index"), F.desc("message_id")).rowsBetween(Window.unboundedPreceding, -1)
+    timed = events.where(F.col("at").isNotNull()).withColumn("at", F.unix_micros("at"))
+    # blocks of time, so long that a chat of n events has about n / EVENTS of them
+    spans = timed.groupBy("chat_id").agg(F.min("at").alias("since"), (F.floor((F.max("at") - F.min("at")) / F.ceil(F.count("*") / EVENTS)) + 1).alias("width"))
+    timed = timed.join(spans, "chat_id").withColumn("block", F.floor((F.col("at") - F.col("since")) / F.col("width"))).drop("since", "width")
     mark = F.when(F.col("kind") != 1, F.struct("kind", "turn_index"))
-    timed = timed.withColumn("before", F.last(mark, ignorenulls=True).over(back)).withColumn("after", F.last(mark, ignorenulls=True).over(ahead))
-    # rank among the loose messages of the same gap
-    gap = F.coalesce(F.col("before.kind").cast("string"), F.lit("-")), F.coalesce(F.col("before.turn_index"), F.lit(-1))
-    asks = timed.where(F.col("kind") == 1).withColumn("g1", gap[0]).withColumn("g2", gap[1])
-    up = F.row_number().over(Window.partitionBy("chat_id", "g1", "g2").orderBy("at", "message_id"))
-    down = F.row_number().over(Window.partitionBy("chat_id", "g1", "g2").orderBy(F.desc("at"), F.desc("message_id")))
-    placed = asks.withColumn("up", up).withColumn("down", down).select(
+    place = F.when(F.col("kind") != 1, F.struct("at", "kind", "turn_index"))
+    blocks = timed.groupBy("chat_id", "block").agg(F.max_by(mark, place).alias("last"), F.min_by(mark, place).alias("first"))
+    along = Window.partitionBy("chat_id").orderBy("block")
+    blocks = blocks.select(
+        "chat_id", "block", F.last("last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
+        F.first("first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("later"),
+    )
+    order = Window.partitionBy("chat_id", "block").orderBy("at", "kind", "turn_index", "message_id")
+    timed = timed.withColumn("before", F.last(mark, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    timed = timed.withColumn("after", F.first(mark, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    asks = timed.where(F.col("kind") == 1).join(blocks, ["chat_id", "block"]).withColumn("before", F.coalesce("before", "earlier")).withColumn("after", F.coalesce("after", "later"))
+    # rank among the loose messages of the same gap: in the block, and behind those of earlier blocks
+    gap = ["chat_id", "g1", "g2"]
+    asks = asks.withColumn("g1", F.coalesce("before.kind", F.lit(-1))).withColumn("g2", F.coalesce("before.turn_index", F.lit(-1)))
+    counts = asks.groupBy(*gap, "block").agg(F.count("*").alias("n"))
+    over = Window.partitionBy(*gap)
+    counts = counts.select(*gap, "block", (F.sum("n").over(over.orderBy("block")) - F.col("n")).alias("ahead"), F.sum("n").over(over).alias("all"))
+    asks = asks.join(counts, [*gap, "block"])
+    up = F.row_number().over(Window.partitionBy(*gap, "block").orderBy("at", "message_id")) + F.col("ahead")
+    placed = asks.withColumn("up", up).withColumn("down", F.col("all") - F.col("up") + 1).select(
         "message_id",
         F.when(F.col("before.kind") == 0, F.col("before.turn_index") + F.col("up"))
         .when(F.col("after.kind") == 2, F.col("after.turn_index") - F.col("down"))
@@ -144,7 +169,7 @@ def judge_chats(placed: DataFrame) -> DataFrame:
 
 def dropped_chats(messages: DataFrame) -> DataFrame:
     """(chat_id, reason) of every chat that cannot be used."""
-    return judge_chats(place_unnumbered(fold_retries(messages))).where(F.col("reason").isNotNull()).select("chat_id", "reason")
+    return judge_chats(place_unnumbered(folded_table(messages))).where(F.col("reason").isNotNull()).select("chat_id", "reason")
 
 
 def rebuilt_turns(messages: DataFrame) -> DataFrame:
@@ -153,7 +178,7 @@ def rebuilt_turns(messages: DataFrame) -> DataFrame:
     Rows stay loose on purpose: nesting would gather a chat of any length in one row. Order by
     (chat_id, turn_index) gives the conversations.
     """
-    placed = place_unnumbered(fold_retries(messages))
+    placed = place_unnumbered(folded_table(messages))
     kept = judge_chats(placed).where(F.col("reason").isNull()).select("chat_id", "first_turn")
     turns = placed.join(kept, "chat_id").select("chat_id", (F.col("turn_index") - F.col("first_turn")).alias("turn_index"), "role", "message_id")
     return turns.join(messages.select("message_id", "text"), "message_id").select("chat_id", "turn_index", "role", "text", "message_id")

@@ -92,17 +92,17 @@ SELECT term, occurrences, records, CASE WHEN records < 3 THEN 'rare' WHEN record
 
 _P5_PLACED = r"""
 WITH raw AS (
-  SELECT DISTINCT chat_id, turn_index, text, sent_at,
+  SELECT chat_id, turn_index, text, sent_at, first(message_id ORDER BY arrived_at NULLS FIRST, message_id) AS message_id,
     CASE WHEN r IN ('user', 'human') THEN 'user' WHEN r IN ('assistant', 'model', 'ai') THEN 'assistant' WHEN r = 'system' THEN 'system' ELSE '?' || coalesce(role, '') END AS role
-  FROM (SELECT *, lower(regexp_replace(role, '\s', '', 'g')) AS r FROM chat_messages) WHERE chat_id IS NOT NULL),
+  FROM (SELECT *, lower(regexp_replace(role, '\s', '', 'g')) AS r FROM chat_messages) WHERE chat_id IS NOT NULL GROUP BY ALL),
 known AS (SELECT * FROM raw WHERE turn_index IS NOT NULL),
 span AS (SELECT chat_id, min(turn_index) AS lo FROM known GROUP BY chat_id),
 asks AS (SELECT l.*, (SELECT max(k.turn_index) FROM known k WHERE k.chat_id = l.chat_id AND k.sent_at <= l.sent_at) AS prev FROM raw l WHERE l.turn_index IS NULL),
 placed AS (
-  SELECT chat_id, turn_index, text, role FROM known
+  SELECT chat_id, turn_index, text, role, message_id FROM known
   UNION ALL
-  SELECT a.chat_id, CASE WHEN prev IS NOT NULL THEN prev + row_number() OVER (PARTITION BY a.chat_id, prev ORDER BY a.sent_at)
-    ELSE coalesce(s.lo, count(*) OVER (PARTITION BY a.chat_id, prev)) - row_number() OVER (PARTITION BY a.chat_id, prev ORDER BY a.sent_at DESC) END, text, role
+  SELECT a.chat_id, CASE WHEN prev IS NOT NULL THEN prev + row_number() OVER (PARTITION BY a.chat_id, prev ORDER BY a.sent_at, a.message_id)
+    ELSE coalesce(s.lo, count(*) OVER (PARTITION BY a.chat_id, prev)) - row_number() OVER (PARTITION BY a.chat_id, prev ORDER BY a.sent_at DESC, a.message_id DESC) END, text, role, message_id
   FROM asks a LEFT JOIN span s ON s.chat_id = a.chat_id),
 said AS (SELECT *, coalesce(regexp_replace(text, '[\s\x{00A0}]', '', 'g'), '') <> '' AS spoken FROM placed),
 facts AS (SELECT chat_id, bool_or(spoken) AS texts, count(*) AS n, count(DISTINCT turn_index) AS places, max(turn_index) - min(turn_index) + 1 AS span, bool_or(role LIKE '?%') AS odd FROM said GROUP BY chat_id),
@@ -116,6 +116,10 @@ ORACLES = {
     "p5_found": _P5_PLACED
     + """SELECT * FROM (SELECT f.chat_id, CASE WHEN NOT texts THEN 'empty' WHEN n > places OR places <> span OR odd OR coalesce(early, false) THEN 'broken' WHEN waits THEN 'missing_reply' END AS reason
 FROM facts f LEFT JOIN talk t ON t.chat_id = f.chat_id) WHERE reason IS NOT NULL""",
+    "p5_turns": _P5_PLACED
+    + """SELECT s.chat_id, s.turn_index - f.lo AS turn_index, s.role, s.text, s.message_id
+FROM said s JOIN (SELECT f.chat_id, (SELECT min(turn_index) FROM said x WHERE x.chat_id = f.chat_id) AS lo FROM facts f LEFT JOIN talk t ON t.chat_id = f.chat_id
+  WHERE texts AND NOT (n > places OR places <> span OR odd OR coalesce(early, false)) AND NOT coalesce(waits, false)) f ON f.chat_id = s.chat_id""",
     "p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p7_found": """
 WITH u AS (SELECT segment_id, min(embedding)::DOUBLE[] AS e FROM segment_embeddings WHERE len(embedding) = 128 GROUP BY segment_id),

@@ -188,6 +188,25 @@ def test_dropped_chats(spark):
     assert conversations.dropped_chats(m.limit(0)).count() == 0
 
 
+def test_blocks_of_time_do_not_change_places(spark, monkeypatch):
+    r = random.Random(6)
+    chats = {
+        f"c{k}": [(None if r.random() < 0.6 else i, "user" if i % 2 == 0 else "assistant", f"t{i}", i * r.choice([1, 1, 7]) if k % 2 else i) for i in range(n)]
+        for k, n in enumerate((40, 300, 1, 90))
+    }
+    chats["loose"] = [(None, "user" if i % 2 == 0 else "assistant", f"t{i}", i // 3) for i in range(200)]
+    m = messages(spark, chats).cache()
+    got = []
+    for events in (1_000_000, 7):
+        monkeypatch.setattr(conversations, "EVENTS", events)
+        placed = conversations.place_unnumbered(conversations.folded_table(m))
+        got.append(sorted((x.message_id, x.turn_index) for x in placed.collect()))
+    assert got[0] == got[1] and len(got[0]) == m.count()
+    # one gap of loose messages only is numbered by time
+    own = {x.message_id: x.turn_index for x in conversations.place_unnumbered(conversations.folded_table(m.where("chat_id = 'loose'"))).collect()}
+    assert [own[x.message_id] for x in m.where("chat_id = 'loose'").orderBy("sent_at", "message_id").collect()] == list(range(200))
+
+
 # --- density ---
 
 
