@@ -78,6 +78,8 @@ def place_unnumbered(folded: DataFrame) -> DataFrame:
     places = numbered.join(chats, "chat_id", "left_semi").groupBy("chat_id", "turn_index").agg(
         F.min("sent_at").alias("lo"), F.max("sent_at").alias("hi")
     )
+    # written, as both kinds of ends and the places after and before them come from it
+    places = scratch_table(places, "places")
     nxt = places.select("chat_id", (F.col("turn_index") - 1).alias("turn_index"))
     prv = places.select("chat_id", (F.col("turn_index") + 1).alias("turn_index"))
     key = ["chat_id", "turn_index"]
@@ -89,6 +91,7 @@ def place_unnumbered(folded: DataFrame) -> DataFrame:
     # blocks of time, so long that a chat of n events has about n / EVENTS of them
     spans = timed.groupBy("chat_id").agg(F.min("at").alias("since"), (F.floor((F.max("at") - F.min("at")) / F.ceil(F.count("*") / EVENTS)) + 1).alias("width"))
     timed = timed.join(spans, "chat_id").withColumn("block", F.floor((F.col("at") - F.col("since")) / F.col("width"))).drop("since", "width")
+    timed = scratch_table(timed, "events")
     mark = F.when(F.col("kind") != 1, F.struct("kind", "turn_index"))
     place = F.when(F.col("kind") != 1, F.struct("at", "kind", "turn_index"))
     blocks = timed.groupBy("chat_id", "block").agg(F.max_by(mark, place).alias("last"), F.min_by(mark, place).alias("first"))
@@ -104,6 +107,7 @@ def place_unnumbered(folded: DataFrame) -> DataFrame:
     # rank among the loose messages of the same gap: in the block, and behind those of earlier blocks
     gap = ["chat_id", "g1", "g2"]
     asks = asks.withColumn("g1", F.coalesce("before.kind", F.lit(-1))).withColumn("g2", F.coalesce("before.turn_index", F.lit(-1)))
+    asks = scratch_table(asks, "asks")
     counts = asks.groupBy(*gap, "block").agg(F.count("*").alias("n"))
     over = Window.partitionBy(*gap)
     counts = counts.select(*gap, "block", (F.sum("n").over(over.orderBy("block")) - F.col("n")).alias("ahead"), F.sum("n").over(over).alias("all"))
