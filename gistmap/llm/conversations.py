@@ -6,8 +6,7 @@
    runs of numbers and the unnumbered messages meet for that. They meet in blocks of time, and what a block needs from the
    others (the nearest ends, the number of messages before it in a gap) is one row per block, so a chat of very many unnumbered messages
    is spread too.
-3. Messages fold to one state per (chat, number), numbers to blocks of 512, blocks to larger blocks,
-   and these to the chat. Each state is a small summary and the fold is associative, so a chat that
+3. Messages fold to blocks of 512 numbers, blocks to larger blocks, and these to the chat. Each state is a small summary and the fold is associative, so a chat that
    holds a third of all rows is spread over as many tasks as it has blocks.
 
 A summary keeps the said roles as a reduced word: ``u``/``a`` for the first and last said user or
@@ -156,14 +155,18 @@ def _fold(states: DataFrame, block: Column) -> DataFrame:
 def judge_chats(placed: DataFrame) -> DataFrame:
     """(chat_id, reason, first_turn): reason is empty, broken, missing_reply, or null for a usable chat."""
     letter = F.when(F.col("said") & (F.col("role") == "user"), "u").when(F.col("said") & (F.col("role") == "assistant"), "a").otherwise("")
-    turns = placed.groupBy("chat_id", "turn_index").agg(
-        (F.count("*") > 1).alias("clash"), F.max(F.col("role").isNull()).alias("odd"), F.max("said").alias("texts"), F.max(letter).alias("word")
+    # two messages on one number are counted in its block; the set holds at most three letters a number
+    row = F.struct(F.col("turn_index").alias("at"), letter.alias("word"))
+    blocks = placed.groupBy("chat_id", F.floor(F.col("turn_index") / BLOCK).alias("at")).agg(
+        F.array_sort(F.collect_set(row)).alias("rows"), F.count("*").alias("messages"), F.max(F.col("role").isNull()).alias("odd"), F.max("said").alias("texts")
     )
-    states = turns.select(
-        "chat_id", F.col("turn_index").alias("at"), F.lit(1).cast("bigint").alias("n"), F.col("turn_index").alias("lo"), F.col("turn_index").alias("hi"),
-        "clash", "odd", "texts", F.lit(False).alias("waits"), "word",
+    numbers = F.array_distinct(F.transform("rows", lambda r: r["at"]))
+    word = F.concat_ws("", F.transform("rows", lambda r: r["word"]))
+    states = blocks.select(
+        "chat_id", "at", F.size(numbers).cast("bigint").alias("n"), F.array_min(numbers).alias("lo"), F.array_max(numbers).alias("hi"), (F.col("messages") > F.size(numbers)).alias("clash"),
+        "odd", "texts", word.contains("uu").alias("waits"), _reduce(word).alias("word"),
     )
-    for _ in range(LEVELS):
+    for _ in range(LEVELS - 1):
         states = _fold(states, F.floor(F.col("at") / BLOCK))
     chats = _fold(states, F.lit(0))
     broken = F.col("clash") | F.col("odd") | (F.col("n") != F.col("hi") - F.col("lo") + 1) | F.col("word").startswith("a")
