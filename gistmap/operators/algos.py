@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 
-MAX_ROWS, MAX_DENSITY_ROWS = 20_000, 100_000
+MAX_ROWS, MAX_DENSITY_ROWS = 8_000, 100_000
 
 
 def check(n: int, most: int = MAX_ROWS) -> None:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from gistmap.config import Graph
 
 
+#: Terms of a chat that are paired with all others in one part.
+PART = 256
+
+
 def pmi(both: Column, a: Column, b: Column, total: Column) -> Column:
     """log2(p(a,b) / (p(a) p(b))); null where any count is zero (minus infinity)."""
     ok = (both > 0) & (a > 0) & (b > 0) & (total > 0)
@@ -19,11 +23,18 @@ def pmi_boost(p: Column) -> Column:
 
 
 def pairs(keywords: DataFrame, kept: DataFrame) -> DataFrame:
-    """(term_a, term_b, cooccurrence), term_a < term_b, of kept terms; rare terms leave before pairs are made."""
+    """(term_a, term_b, cooccurrence), term_a < term_b, of kept terms; rare terms leave before pairs are made.
+
+    A chat of many terms is cut into parts: its terms stand on the left in one part each and on the right in all, so no task
+    makes the pairs of a whole large chat.
+    """
     k = keywords.select("chat_id", "term").distinct().join(kept.select("term"), "term", "left_semi")
-    a, b = k.alias("a"), k.alias("b")
-    j = a.join(b, (F.col("a.chat_id") == F.col("b.chat_id")) & (F.col("a.term") < F.col("b.term")))
-    return j.groupBy(F.col("a.term").alias("term_a"), F.col("b.term").alias("term_b")).agg(F.count("*").alias("cooccurrence"))
+    parts = k.groupBy("chat_id").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    k = k.join(parts, "chat_id")
+    a = k.select("chat_id", F.col("term").alias("term_a"), F.pmod(F.xxhash64("term"), F.col("parts")).cast("int").alias("part"))
+    b = k.select("chat_id", F.col("term").alias("term_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    j = a.join(b, ["chat_id", "part"]).where(F.col("term_a") < F.col("term_b"))
+    return j.groupBy("term_a", "term_b").agg(F.count("*").alias("cooccurrence"))
 
 
 def weighted(keywords: DataFrame, kept: DataFrame) -> DataFrame:

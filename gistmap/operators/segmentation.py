@@ -102,8 +102,11 @@ def segment_chats(turns: DataFrame, windows: DataFrame, c: Segmentation = Segmen
     cuts = boundaries(windows.join(long_chats.select("chat_id"), "chat_id", "left_semi"), long_chats, c)
     segs = bounds(cuts, n)
     order = Window.partitionBy("chat_id").orderBy("turn_index")
-    placed = turns.withColumn("at", F.row_number().over(order) - 1)
-    inside = segs.join(placed.select("chat_id", "at", "text"), "chat_id").where((F.col("at") >= F.col("start_turn")) & (F.col("at") < F.col("end_turn")))
+    placed = turns.select("chat_id", "turn_index", "text", (F.row_number().over(order) - 1).alias("at"))
+    # a turn is in the segment that started last: starts are marked and counted along the chat
+    starts = segs.select("chat_id", F.col("start_turn").alias("at"), F.lit(1).alias("start"))
+    along = order.rowsBetween(Window.unboundedPreceding, 0)
+    inside = placed.join(starts, ["chat_id", "at"], "left").withColumn("seg_index", F.count("start").over(along).cast("int") - 1)
     counts = word_counts(inside, ["chat_id", "seg_index"])
     segs = core_labels(segs.join(counts, ["chat_id", "seg_index"]))
     return segs.select(

@@ -66,6 +66,10 @@ def drop_modifier_singletons(counts: DataFrame) -> DataFrame:
     return counts.where(~(F.col("term").isin(X.MODIFIER_NOUNS) & (F.col("count") <= 1)))
 
 
+#: Targets of one first letter that one share of a block compares.
+TARGETS = 2_000
+
+
 def apply_map(terms: DataFrame, mapping: DataFrame, column: str = "term") -> DataFrame:
     """Replace terms by ``mapping`` (source, target); terms without an entry stay."""
     m = mapping.select(F.col("source").alias(column), F.col("target").alias("__target"))
@@ -92,15 +96,37 @@ def dictionary_snap(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     return near.groupBy("word").agg(F.min_by("target", F.struct(-F.col("freq"), "target")).alias("target"))
 
 
+def _letters(c: Column) -> Column:
+    """The letters of a word as bits (26 for a to z, 6 shared by all others)."""
+    bit = lambda ch: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.when(F.ascii(ch).between(97, 122), F.ascii(ch) - 97).otherwise(26 + F.pmod(F.ascii(ch), F.lit(6))).cast("int"))
+    return F.aggregate(F.split(c, ""), F.lit(0).cast("bigint"), lambda acc, ch: F.when(ch == "", acc).otherwise(acc.bitwiseOR(bit(ch))))
+
+
 def typo_pairs(freqs: DataFrame, c: Keywords = Keywords()) -> DataFrame:
-    """(term, target, target_freq): single words that look like a much more frequent word with the same first letter."""
-    single = freqs.where(F.col("term").rlike(r"^\p{L}+$")).withColumn("letter", F.substring("term", 1, 1))
-    a, b = single.alias("a"), single.alias("b")
-    cheap = (F.col("a.letter") == F.col("b.letter")) & (F.col("a.term") != F.col("b.term")) & (F.col("b.freq") >= c.freq_ratio * F.col("a.freq"))
-    # a length ratio below 0.64 cannot reach 0.88: jaro is at most (1 + ratio + 1) / 3
-    near = F.least(F.length("a.term"), F.length("b.term")) >= 0.4 * F.greatest(F.length("a.term"), F.length("b.term"))
-    pairs = a.join(b, cheap & near).select(F.col("a.term").alias("term"), F.col("b.term").alias("target"), F.col("b.freq").alias("target_freq"))
-    return pairs.where(X.jaro_winkler("term", "target") >= c.jaro_winkler)
+    """(term, target, target_freq): single words that look like a much more frequent word with the same first letter.
+
+    Words meet by first letter, length and a share of the longer blocks; a bound from the letters that only one of them has
+    leaves the string similarity few pairs. The bound is exact: with k letters of a word missing in the other at most length - k
+    letters match.
+    """
+    single = freqs.where(F.col("term").rlike(r"^\p{L}+$")).withColumn("letter", F.substring("term", 1, 1)).withColumn("size", F.length("term"))
+    single = single.withColumn("letters", _letters(F.lower("term")))
+    # a target is as many times more frequent as its source, so at least that frequent
+    targets = single.where(F.col("freq") >= c.freq_ratio).select(F.col("term").alias("target"), F.col("freq").alias("target_freq"), "letter", F.col("size").alias("target_size"), F.col("letters").alias("target_letters"))
+    # a length ratio below 0.4 cannot reach 0.88: jaro is at most (1 + ratio + 1) / 3, the prefix gives at most 0.4 of the rest
+    lengths = F.sequence(F.ceil(F.col("target_size") * 0.4).cast("int"), F.floor(F.col("target_size") * 2.5).cast("int"))
+    # blocks of many targets are shared out: each source goes to every share, each target to one
+    blocks = targets.groupBy("letter").agg(F.ceil(F.count("*") / TARGETS).cast("int").alias("shares"))
+    a = single.join(F.broadcast(blocks), "letter").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    b = targets.join(F.broadcast(blocks), "letter").withColumn("share", F.pmod(F.xxhash64("target"), F.col("shares")).cast("int")).withColumn("size", F.explode(lengths))
+    j = a.join(b.drop("shares"), ["letter", "size", "share"]).where((F.col("term") != F.col("target")) & (F.col("target_freq") >= c.freq_ratio * F.col("freq")))
+    only = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
+    most = F.least(F.col("size") - only("letters", "target_letters"), F.col("target_size") - only("target_letters", "letters"))
+    jaro = (most / F.col("size") + most / F.col("target_size") + 1) / 3
+    same = lambda k: F.substring("term", 1, k) == F.substring("target", 1, k)
+    prefix = F.when(same(4), 4).when(same(3), 3).when(same(2), 2).otherwise(1)
+    j = j.where((most > 0) & (jaro + prefix * 0.1 * (1 - jaro) >= c.jaro_winkler - 1e-9))
+    return j.select("term", "target", "target_freq").where(X.jaro_winkler("term", "target") >= c.jaro_winkler)
 
 
 def typo_targets(freqs: DataFrame, c: Keywords = Keywords()) -> DataFrame:

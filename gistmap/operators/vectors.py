@@ -12,43 +12,108 @@ from pyspark.sql import functions as F
 from gistmap.config import Concepts, Domains
 from gistmap.functions.text import dot
 from gistmap.operators import algos
+from gistmap.runtime import scratch_table
 
-BLOCK = 4_096
+#: Rows of a part of a cell, pivots of the cells, and rows they are taken from.
+BLOCK, PIVOTS, SAMPLE = 4_096, 512, 4_096
+
+
+def _top(x: np.ndarray, ids_a: np.ndarray, y: np.ndarray, ids_b: np.ndarray, k: int) -> pd.DataFrame:
+    """The best ``k`` of the rows ``y`` (sorted by id) for each row of ``x``."""
+    out = [pd.DataFrame({"a": ids_a[:0], "b": ids_b[:0], "sim": np.zeros(0)})]
+    for at in range(0, len(x), 1024):
+        s = np.round(x[at : at + 1024] @ y.T, 9)
+        s[ids_a[at : at + 1024][:, None] == ids_b[None, :]] = -np.inf
+        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        value = np.take_along_axis(s, top, 1)
+        ok = np.isfinite(value)
+        out.append(pd.DataFrame({"a": np.repeat(ids_a[at : at + 1024], top.shape[1])[ok.ravel()], "b": ids_b[top[ok]], "sim": value[ok]}))
+    return pd.concat(out, ignore_index=True)
+
+
+def _unit(column) -> np.ndarray:
+    x = np.stack([np.asarray(v, float) for v in column])
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
 
 def knn(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(a, b, sim, rank) of the ``k`` most similar other rows (ties: smaller b); ``vectors``: (id, v), unit length.
 
-    Exact: rows are cut into blocks by hash and every pair of blocks is multiplied in one task, which sends on
-    only its best ``k`` per row; the winners over the blocks are merged.
+    Exact. Rows go to the cell of the nearest of a bounded sample of pivots; a cell of more than ``block`` rows is cut by hash.
+    Every row first meets its own part; the angle to the k-th best found there bounds what is left to find: by the
+    triangle inequality only parts of cells whose ball (the largest angle to the pivot) comes within that angle are visited, and a
+    row goes to each of these once. Visitors of a part are cut into groups of ``block``. The winners are merged.
     """
-    n = vectors.count()
-    parts = max(1, math.ceil(n / block))
-    rows = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("p"))
-    pairs = rows.select("id", "v", "p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("q"))
-    left = pairs.select(F.col("p").alias("i"), F.col("q").alias("j"), "id", "v", F.lit(True).alias("left"))
-    right = pairs.select(F.col("q").alias("i"), F.col("p").alias("j"), "id", "v", F.lit(False).alias("left"))
+    vectors = vectors.select("id", "v")
     kind = dict(vectors.dtypes)["id"]
+    sample = vectors.orderBy(F.xxhash64("id")).limit(SAMPLE).toPandas()
+    if not len(sample):
+        return vectors.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("sim"), F.lit(1).alias("rank")).where(F.lit(False))
+    x = _unit(sample["v"])
+    # farthest first: each pivot is the sampled row least like those before
+    chosen, near = [0], x @ x[0]
+    while len(chosen) < min(PIVOTS, max(1, math.isqrt(len(x)) * 2)) and near.min() < 1 - 1e-9:
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    shared = vectors.sparkSession.sparkContext.broadcast(x[chosen])
+
+    def place(batches):
+        for pdf in batches:
+            if len(pdf):
+                s = _unit(pdf["v"]) @ shared.value.T
+                cell = s.argmax(axis=1)
+                yield pdf.assign(cell=cell.astype(np.int32), angle=np.arccos(np.clip(s[np.arange(len(s)), cell], -1, 1)))
+
+    element = dict(vectors.dtypes)["v"]
+    cells = scratch_table(vectors.mapInPandas(place, f"id {kind}, v {element}, cell int, angle double"), "cells")
+    sizes = {r["cell"]: (math.ceil(r["n"] / block), r["far"]) for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("far")).collect()}
+    plan = vectors.sparkSession.createDataFrame([(c, n) for c, (n, _) in sizes.items()], "cell int, parts int")
+    rows = cells.join(F.broadcast(plan), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("id", "v", "cell", "part")
+    known = vectors.sparkSession.sparkContext.broadcast(sizes)
+
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        x, ids = np.stack(pdf["v"].to_list()).astype(float), pdf["id"].to_numpy()
+        best = _top(x, ids, x, ids, k)
+        # the angle to the k-th best; with fewer, nothing bounds
+        kth = best.groupby("a")["sim"].agg(["size", "min"])
+        bound = {a: math.acos(min(1.0, max(-1.0, m))) for a, n, m in kth.itertuples() if n >= k}
+        here = (int(pdf["cell"].iat[0]), int(pdf["part"].iat[0]))
+        angles = np.arccos(np.clip(_unit(pdf["v"]) @ shared.value.T, -1, 1))
+        limit = np.array([bound.get(i, math.pi) for i in ids])
+        visit: list[list[int]] = [[] for _ in ids]
+        for cell, (parts, far) in known.value.items():
+            reach = np.flatnonzero(angles[:, cell] - far <= limit + 1e-6)
+            for part in range(parts):
+                if (cell, part) != here:
+                    for i in reach:
+                        visit[i].append(cell * MOST_PARTS + part)
+        lists = best.groupby("a").agg(list)
+        none: list = []
+        return pd.DataFrame({"id": ids, "b": [lists["b"].get(i, none) for i in ids], "sim": [lists["sim"].get(i, none) for i in ids], "visit": visit})
+
+    first = scratch_table(rows.groupBy("cell", "part").applyInPandas(own, f"id {kind}, b array<{kind}>, sim array<double>, visit array<bigint>"), "nearest")
+    near = first.select(F.col("id").alias("a"), F.inline(F.arrays_zip("b", "sim"))).toDF("a", "b", "sim")
+    going = first.select("id", F.explode("visit").alias("to"))
+    crowds = going.groupBy("to").agg(F.ceil(F.count("*") / block).cast("int").alias("crowds"))
+    going = going.join(F.broadcast(crowds), "to").withColumn("crowd", F.pmod(F.xxhash64("id", "to"), F.col("crowds")).cast("int")).join(vectors, "id")
+    going = going.select("to", "crowd", "id", "v", F.lit(True).alias("left"))
+    staying = rows.withColumn("to", F.col("cell").cast("bigint") * MOST_PARTS + F.col("part")).join(F.broadcast(crowds), "to").withColumn("crowd", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)))
+    staying = staying.select("to", "crowd", "id", "v", F.lit(False).alias("left"))
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["left"]], pdf[~pdf["left"]].sort_values("id")
         if not len(a) or not len(b):
             return pd.DataFrame({"a": pdf["id"].iloc[:0], "b": pdf["id"].iloc[:0], "sim": np.zeros(0)})
-        x, y = np.stack(a["v"].to_list()).astype(float), np.stack(b["v"].to_list()).astype(float)
-        ids_a, ids_b = a["id"].to_numpy(), b["id"].to_numpy()
-        out = []
-        for at in range(0, len(x), 1024):
-            s = np.round(x[at : at + 1024] @ y.T, 9)
-            s[ids_a[at : at + 1024][:, None] == ids_b[None, :]] = -np.inf
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            value = np.take_along_axis(s, top, 1)
-            ok = np.isfinite(value)
-            out.append(pd.DataFrame({"a": np.repeat(ids_a[at : at + 1024], top.shape[1])[ok.ravel()], "b": ids_b[top[ok]], "sim": value[ok]}))
-        return pd.concat(out, ignore_index=True)
-
-    near = left.unionByName(right).groupBy("i", "j").applyInPandas(best, f"a {kind}, b {kind}, sim double")
+        return _top(np.stack(a["v"].to_list()).astype(float), a["id"].to_numpy(), np.stack(b["v"].to_list()).astype(float), b["id"].to_numpy(), k)
+
+    far = going.unionByName(staying).groupBy("to", "crowd").applyInPandas(best, f"a {kind}, b {kind}, sim double")
     order = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return near.unionByName(far).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+#: Parts a cell can have.
+MOST_PARTS = 1 << 32
 
 
 def mutual(near: DataFrame) -> DataFrame:
