@@ -201,3 +201,14 @@ def split_chunks(most: int):
         return s.map(lambda t: _chunks(t, most))
 
     return run
+
+
+def words_of(token: str | None) -> tuple[str, ...]:
+    """The words of a token that may be a merged phrase."""
+    return tuple((token or "").split())
+
+
+def stopwords(*sources) -> frozenset[str]:
+    """The union of any number of lists of words, trimmed and in lower case; null lists and blank words are left out. Without lists: the built-in ones."""
+    lists = sources or (STOPWORDS, MODIFIER_NOUNS)
+    return frozenset(w.strip().lower() for words in lists if words is not None for w in words if w and w.strip())

@@ -11,6 +11,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,3 +45,20 @@ def embed_texts(df: DataFrame, text: str, out: str = "v", provider: Callable[[pd
         return pd.Series(encode(s))
 
     return spread(df).withColumn(out, run(F.col(text)))
+
+
+#: Providers by name: what makes the encoder of a process.
+PROVIDERS: dict[str, Callable[[], Callable[[pd.Series], list[list[float]]]]] = {"hashed": lambda: lambda s: [hashed_vector(t) for t in s]}
+_LOADS: Counter[str] = Counter()
+
+
+@lru_cache(maxsize=4)
+def cached_provider(name: str) -> Callable[[pd.Series], list[list[float]]]:
+    """The encoder of this name, made once per process."""
+    _LOADS[name] += 1
+    return PROVIDERS[name]()
+
+
+def loads(name: str) -> int:
+    """How often this process made the encoder."""
+    return _LOADS[name]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gistmap.functions import text as X
@@ -15,11 +15,12 @@ HINTS = ["conversation", "chat", "message", "item", "entr", "session", "thread"]
 
 def parse_entries(entries: DataFrame) -> DataFrame:
     """Add chat_id, user_text and assistant_text (readable parts of the answer, two lines apart)."""
-    parts = entries.select("entry_id", F.posexplode("safeHtmlItem").alias("pos", "i")).where(F.regexp_replace("i.html", r"(?U)\s+", "") != "")
-    parts = parts.select("entry_id", "pos", X.html_to_text(F.col("i.html")).alias("t")).where("t <> ''")
-    answer = parts.groupBy("entry_id").agg(F.concat_ws("\n\n", F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda s: s["t"])).alias("assistant_text"))
+    key = ["source_file", "entry_id"]
+    parts = entries.select(*key, F.posexplode("safeHtmlItem").alias("pos", "i")).where(F.regexp_replace("i.html", r"(?U)\s+", "") != "")
+    parts = parts.select(*key, "pos", X.html_to_text(F.col("i.html")).alias("t")).where("t <> ''")
+    answer = parts.groupBy(*key).agg(F.concat_ws("\n\n", F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda s: s["t"])).alias("assistant_text"))
     e = entries.select("entry_id", "source_file", "entry_index", "time", X.chat_id(F.col("details")).alias("chat_id"), X.user_text(F.col("title")).alias("user_text"))
-    return e.join(answer, "entry_id", "left")
+    return e.join(answer, key, "left")
 
 
 def with_instants(entries: DataFrame) -> DataFrame:
@@ -39,12 +40,35 @@ def build_conversations(good: DataFrame) -> DataFrame:
     return e.select("source_file", "chat_id", F.inline(both))
 
 
-def read_exports(spark: SparkSession, root: str) -> DataFrame:
-    """(path, body) of all JSON files below ``root``, read whole."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root)
+def read_exports(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
+    """(path, body) of all files below ``root`` whose names match, read whole (an export is one JSON array)."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 
+def write_exports(entries: DataFrame, root: str) -> None:
+    """Write entries as an export tree below ``root``: one folder per source_file with one JSON array in it (``part-*.txt``), entries in their order."""
+    fields = [c for c in ("header", "title", "time", "details", "safeHtmlItem") if c in entries.columns]
+    row = F.struct(F.col("entry_index"), F.col("entry_id"), F.to_json(F.struct(*fields)).alias("json"))
+    files = entries.groupBy("source_file").agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["json"]).alias("rows"))
+    files.select("source_file", F.concat(F.lit("["), F.array_join("rows", ","), F.lit("]")).alias("value")).write.mode("overwrite").partitionBy("source_file").text(root)
+
+
+def file_of(path: Column) -> Column:
+    """The name of the export a path belongs to: its ``source_file`` folder, else the file's own name."""
+    folder = F.regexp_extract(path, r"source_file=([^/]+)/", 1)
+    return F.when(folder != "", folder).otherwise(F.element_at(F.split(path, "/"), -1))
+
+
+def typed_entries(parsed: DataFrame) -> DataFrame:
+    """Parsed entries as rows of entries: fields of another type than expected are null. ``entry_id`` is their place in the file."""
+    get = lambda name, kind: F.try_variant_get("entry", f"$.{name}", kind)
+    return parsed.where("entry is not null").select(
+        F.col("entry_index").cast("bigint").alias("entry_id"), file_of(F.col("path")).alias("source_file"), "entry_index", get("header", "string").alias("header"), get("title", "string").alias("title"),
+        get("time", "string").alias("time"), get("details", "array<struct<url:string,name:string>>").alias("details"), get("safeHtmlItem", "array<struct<html:string>>").alias("safeHtmlItem"),
+    )
+
+
 def parse_exports(files: DataFrame) -> DataFrame:
     """(path, reason, entry_index, entry): entries of arrays; files that are none with a reason."""
     v = files.select("path", F.try_parse_json("body").alias("v"))

@@ -309,18 +309,37 @@ def rank_by_mmr(candidates: DataFrame, c: Keywords = Keywords()) -> DataFrame:
     return candidates.select("segment_id", "term", "relevance", "v", "pos").groupBy("segment_id").applyInPandas(run, "segment_id string, pos int, term string, score double")
 
 
+# Marks of names of people and organisations.
+_TITLE = r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?"
+_KIND = r"(?:Inc|Ltd|LLC|Corp|GmbH|AG|University|Institute|Foundation|Company|Group|Bank|Museum|Council)"
+_CAPS = r"\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)*"
+
+
+def entities(segment_texts: DataFrame) -> DataFrame:
+    """(segment_id, term, entity_label) of names that their form tells: people after a title, organisations
+    before a word for one, quoted titles. Terms are in lower case, of two words or more."""
+    found = lambda pattern, label: F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda t: F.struct(F.lower(t).alias("term"), F.lit(label).alias("entity_label")))
+    all_ = F.concat(
+        found(rf"{_TITLE} ({_CAPS})", "PERSON"), found(rf"({_CAPS} {_KIND})(?!\p{{L}})", "ORG"), found(r"[\"“„«]\s?(\p{Lu}[\p{L}'-]+(?: [\p{L}'-]+){1,7})\s?[\"”»]", "WORK_OF_ART")
+    )
+    rows = segment_texts.where("text is not null").select("segment_id", F.inline(all_)).where(F.col("term").contains(" "))
+    return rows.groupBy("segment_id", "term").agg(F.min("entity_label").alias("entity_label"))
+
+
 def candidates(segment_texts: DataFrame, most_words: int = 3) -> DataFrame:
-    """(segment_id, term): runs of content words between stopwords and punctuation, up to ``most_words`` words."""
+    """(segment_id, term, entity_label): names that their form tells, and runs of content words between stopwords and punctuation.
+    A run of more than ``most_words`` words is no term. ``segment_texts``: one row per segment_id."""
     from pyspark.ml.feature import StopWordsRemover
 
     stop = sorted({w for lang in ("english", "german", "spanish", "french") for w in StopWordsRemover.loadDefaultStopWords(lang)} | set(X.STOPWORDS) | set(X.MODIFIER_NOUNS))
     clean = X.strip_non_discursive(F.col("text"))
-    parts = segment_texts.select("segment_id", F.explode(F.split(F.lower(clean), r"(?U)[^\p{L}\p{N}' -]+")).alias("part"))
-    flat = parts.select("segment_id", F.monotonically_increasing_id().alias("run"), F.posexplode(X.words(F.col("part"))).alias("i", "w"))
+    parts = segment_texts.select("segment_id", F.posexplode(F.split(F.lower(clean), r"(?U)[^\p{L}\p{N}' -]+")).alias("run", "part"))
+    flat = parts.select("segment_id", "run", F.posexplode(X.words(F.col("part"))).alias("i", "w"))
     flat = flat.withColumn("stop", F.col("w").isin(stop) | (F.length("w") < 2))
-    order = Window.partitionBy("run").orderBy("i")
+    order = Window.partitionBy("segment_id", "run").orderBy("i")
     flat = flat.withColumn("g", F.sum(F.col("stop").cast("int")).over(order)).where("not stop")
-    runs = flat.groupBy("segment_id", "run", "g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda s: s["w"]).alias("ws"))
-    term = X.repair_boundary(X.strip_determiner(F.array_join(F.slice("ws", 1, most_words), " ")))
+    runs = flat.groupBy("segment_id", "run", "g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda s: s["w"]).alias("ws")).where(F.size("ws") <= most_words)
+    term = X.repair_boundary(X.strip_determiner(F.array_join("ws", " ")))
     out = runs.select("segment_id", term.alias("term")).where(X.is_valid_term(F.col("term")) & ~X.ends_with_fragment(F.col("term")))
-    return out.distinct()
+    both = out.select("segment_id", "term", F.lit(None).cast("string").alias("entity_label")).unionByName(entities(segment_texts))
+    return both.groupBy("segment_id", "term").agg(F.min("entity_label").alias("entity_label"))

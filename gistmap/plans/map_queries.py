@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,40 +157,6 @@ def set_union_files(spark, d):
     return table(spark, d, "conversations").groupBy("chat_id").agg(F.count("*").alias("exports"))
 
 
-def _authored(name: str) -> str:
-    """A small export tree in a temporary folder."""
-    root = os.path.join(tempfile.gettempdir(), f"gistmap-fixture-{os.getpid()}-{name}")
-    os.makedirs(f"{root}/gemini/deep", exist_ok=True)
-    good = [{"title": "Prompted Hello", "time": "2024-01-02T00:00:00Z", "details": [{"url": "https://h/app/abc?x=1"}], "safeHtmlItem": [{"html": "<p>Hi &amp; hello</p>"}]}, {"title": 5, "details": "odd"}]
-    for path, body in (("gemini/a.json", json.dumps(good)), ("gemini/deep/b.json", json.dumps(good[:1])), ("gemini/bad.json", "{not json"), ("gemini/object.json", json.dumps({"chats": good, "meta": {"items": [1]}}))):
-        with open(f"{root}/{path}", "w") as f:
-            f.write(body)
-    return f"file://{root}/gemini"
-
-
-@query()
-def src_export_scan(spark, d):
-    """Files of an export tree, in path order."""
-    return SRC.read_exports(spark, _authored("scan")).select(F.element_at(F.split("path", "/"), -1).alias("file"))
-
-
-@query()
-def src_export_parse(spark, d):
-    """Entries of all readable files; unreadable files and other top levels come out with a reason."""
-    return SRC.parse_exports(SRC.read_exports(spark, _authored("parse"))).select(F.element_at(F.split("path", "/"), -1).alias("file"), "reason", F.col("entry_index"), F.col("entry").cast("string").alias("entry"))
-
-
-@query()
-def src_schema_infer(spark, d):
-    return SRC.infer_schemas(SRC.read_exports(spark, _authored("schema"))).select(F.element_at(F.split("path", "/"), -1).alias("file"), "schema")
-
-
-@query()
-def src_collection_pick(spark, d):
-    """The list of each file that most likely holds the conversations."""
-    return SRC.pick_collections(SRC.read_exports(spark, _authored("pick"))).select(F.element_at(F.split("path", "/"), -1).alias("file"), "collection", "length")
-
-
 # --- text functions -----------------------------------------------------------------------------
 
 _DOCS = "documents WHERE text IS NOT NULL"
@@ -497,14 +459,3 @@ def fn_embed_window(spark, d):
 
     w = embed_texts(S.sliding_texts(load(spark, d)["turns"], 2), "text")
     return w.select("chat_id", "i", F.size(F.filter("v", lambda x: x != 0)).alias("active"))
-
-
-@query()
-def snk_conversations(spark, d):
-    """Turns written as Parquet and read back."""
-    return scratch_table(load(spark, d)["turns"], "turns")
-
-
-@query()
-def snk_segments(spark, d):
-    return scratch_table(load(spark, d)["segments"], "segments")

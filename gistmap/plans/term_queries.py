@@ -144,11 +144,6 @@ def agg_term_alias(spark, d):
     return K.apply_map(_ck(spark, d), _aliases(spark, d)).groupBy("chat_id", "term").agg(F.sum("count").alias("count"))
 
 
-@query("SELECT DISTINCT canonical AS name FROM canonical_terms WHERE canonical IN (SELECT unnest(aliases) FROM canonical_terms)")
-def set_alias_conflict(spark, d):
-    return table(spark, d, "canonical_terms").select(F.col("canonical").alias("name")).distinct().intersect(_aliases(spark, d).select(F.col("source").alias("name")))
-
-
 @query("SELECT DISTINCT term FROM terms WHERE term NOT IN (SELECT canonical FROM canonical_terms)")
 def set_unmapped(spark, d):
     return _t(spark, d).select("term").distinct().join(table(spark, d, "canonical_terms").select(F.col("canonical").alias("term")), "term", "left_anti")
@@ -242,7 +237,6 @@ def top1_typo_target(spark, d):
     return K.typo_targets(_typo_freqs(spark, d))
 
 
-@query()
 def ml_canonical_map(spark, d):
     """Dictionary snap, new counts, frequency snap, composed: (source, target) of every word that changes."""
     w, s = _snap(spark, d)
@@ -730,12 +724,12 @@ def fn_content_nouns(spark, d):
 
 @query()
 def ml_extract_keywords(spark, d):
-    """Word-level keywords of every chat: content words and phrases, condensed and ranked (the best ten)."""
+    """Word-level keywords of every chat: content words and phrases, condensed and ranked."""
     toks = _toks(spark, d).select("chat_id", F.col("token").alias("term"))
     c = toks.groupBy("chat_id", "term").agg(F.count("*").alias("count"))
     c = K.drop_modifier_singletons(K.merge_lemmas(c, ["chat_id"]))
     w = Window.partitionBy("chat_id").orderBy(F.desc("count"), "term")
-    return c.withColumn("place", F.row_number().over(w)).where("place <= 10").select("chat_id", "place", "term", "count")
+    return c.withColumn("place", F.row_number().over(w)).select("chat_id", "place", "term", "count")
 
 
 @query()

@@ -355,11 +355,6 @@ def ml_dpgmm(spark, d):
     return m.select("component", F.round("weight", 4).alias("weight"), F.round("mx", 3).alias("mx"), F.round("my", 3).alias("my"))
 
 
-@query()
-def out_v3_density(spark, d):
-    return V.density_grid(V.grid(spark, 100.0, 150), _mix(spark)).select("j", "i", F.round("log_density", 6).alias("log_density"), F.round("normalized_density", 6).alias("normalized_density"))
-
-
 @query(f"{_GRID} SELECT 39 - j AS j, i, round(40.0 * (row_number() OVER (ORDER BY round(log_density, 9), j, i) - 1) / (count(*) OVER () - 1), 6) AS z FROM ld")
 def vw_terrain_flip(spark, d):
     """Terrain heights with the rows turned round."""
@@ -453,12 +448,6 @@ def chk_v3(spark, d):
     return A.v3_violations(t["segments"], t["conversation_concepts"], t["macro_domains"]).withColumnRenamed("table", "tab")
 
 
-@query()
-def snk_v3(spark, d):
-    """The payload, one JSON text per row and section."""
-    return A.payload(_v3(spark, d)).select("section", "json", "version")
-
-
 _V2 = ", n2 AS (SELECT term AS id, count(DISTINCT chat_id) AS chats FROM terms GROUP BY term HAVING count(DISTINCT chat_id) >= 3), k2 AS (SELECT DISTINCT chat_id, term FROM terms WHERE term IN (SELECT id FROM n2)), e2 AS (SELECT a.term AS source, b.term AS target, count(*) AS cooccurrence FROM k2 a JOIN k2 b ON a.chat_id = b.chat_id AND a.term < b.term GROUP BY ALL)"
 
 
@@ -472,20 +461,6 @@ def _v2(spark, d):
     return kept.select(F.col("term").alias("id"), F.col("chat_count").alias("chats")), e
 
 
-@query(_V2 + " SELECT id, chats, (SELECT count(*) FROM e2 WHERE source = id OR target = id) AS degree FROM n2")
-def out_v2(spark, d):
-    """Nodes of the word-level map with their degree."""
-    n, e = _v2(spark, d)
-    deg = e.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    return n.join(deg, "id", "left").select("id", "chats", F.coalesce("degree", F.lit(0)).alias("degree"))
-
-
-@query(_V2 + " SELECT 'edges' AS tab, 'loop' AS rule, source AS at FROM e2 WHERE source = target")
-def chk_v2(spark, d):
-    n, e = _v2(spark, d)
-    return A.v2_violations(n, e).withColumnRenamed("table", "tab")
-
-
 @query(_OUT + " SELECT id, label, segment_count AS size FROM o_dom")
 def vw_macro(spark, d):
     return _v3(spark, d)["macro_domains"].select("id", "label", F.col("segment_count").alias("size"))
