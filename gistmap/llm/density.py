@@ -1,7 +1,7 @@
 """Similarity clusters of segment vectors by density peaks.
 
-1. Usable vectors (right length, finite, not zero) are normalised; equal vectors become one
-   representative with a weight.
+1. Usable vectors (right length, finite, not zero) are normalised; equal vectors (by a 128-bit key) become one
+   representative with a weight. Later steps carry the key, not the vector.
 2. Blocks: a bounded sample gives pivots; vectors go to the nearest pivot's cell and an angle band, and
    cells are packed into blocks of bounded size (a crowded cell is split by hash). By the triangle
    inequality of angles a pair of blocks is compared only if two of its vectors can be within the link
@@ -9,8 +9,8 @@
    ``MAX_BLOCKS``: beyond, blocks grow and are multiplied tile by tile.
 3. First join of blocks: weighted neighbour counts (local density) and an XOR fingerprint of
    the closed neighbourhood. Pairs never leave the task, only sums per vector do.
-4. Second join: the most similar denser neighbour of each vector (ties: smaller id). A vector without one is
-   a peak. Pointers are followed by doubling, each round cut with a checkpoint.
+4. Second join: the most similar denser neighbour of each vector (to four decimals; ties: the denser, then the smaller id).
+   A vector without one is a peak. Pointers are followed by doubling, each round cut with a checkpoint.
 
 Defined results: null, zero, non-finite vectors and such of another length are in no cluster; a repeated
 segment_id counts once (its smallest vector); an empty table gives no rows.
@@ -18,6 +18,7 @@ segment_id counts once (its smallest vector); an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -32,13 +33,14 @@ from gistmap.runtime import cut, scratch_table
 DIM = 128
 LINK, DENSE = 0.70, 0.75
 PIVOT_SAMPLE, MAX_PIVOTS = 4_096, 1_024
-BLOCK, MAX_BLOCKS, TILE = 8_192, 2_048, 1_024
+#: A vector is sent once to each partner of its block: large blocks have few, and a pair of them is still small for a task.
+BLOCK, MAX_BLOCKS, TILE = 16_384, 4_096, 1_024
 #: Similarities this close to a threshold are computed again in double precision.
 SLACK = 1e-5
 
 
 def usable_vectors(embeddings: DataFrame, dim: int = DIM) -> DataFrame:
-    """(segment_id, vec): unit vectors as float32 bytes, one per segment."""
+    """(segment_id, key, vec): unit vectors as float32 bytes with their key, one per segment."""
     rows = embeddings.where(F.col("segment_id").isNotNull() & (F.size("embedding") == dim)).groupBy("segment_id").agg(F.min("embedding").alias("embedding"))
 
     def norm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,18 +50,20 @@ def usable_vectors(embeddings: DataFrame, dim: int = DIM) -> DataFrame:
             size = np.sqrt((flat * flat).sum(axis=1))
             ok = np.isfinite(size) & (size > 0)
             unit = (flat[ok] / size[ok, None]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(ok)), pa.array([v.tobytes() for v in unit], pa.binary())], names=["segment_id", "vec"])
+            flat_bytes = [v.tobytes() for v in unit]
+            keys = [hashlib.blake2b(v, digest_size=16).digest() for v in flat_bytes]
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(ok)), pa.array(keys, pa.binary()), pa.array(flat_bytes, pa.binary())], names=["segment_id", "key", "vec"])
 
-    return rows.mapInArrow(norm, "segment_id string, vec binary")
+    return rows.mapInArrow(norm, "segment_id string, key binary, vec binary")
 
 
 def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.float32).reshape(len(column), -1)
 
 
-def _pivots(reps: DataFrame) -> np.ndarray:
+def _pivots(segments: DataFrame) -> np.ndarray:
     """Leaders of a bounded sample: vectors less than DENSE similar to all leaders before."""
-    sample = reps.orderBy(F.xxhash64("rep")).limit(PIVOT_SAMPLE).select("vec").toPandas()["vec"]
+    sample = segments.orderBy(F.xxhash64("segment_id"), "segment_id").limit(PIVOT_SAMPLE).select("vec").toPandas()["vec"]
     if not len(sample):
         return np.zeros((0, DIM), np.float32)
     x = _matrix(sample)
@@ -177,7 +181,8 @@ def _denser(pdf: pd.DataFrame) -> pd.DataFrame:
     mixed = pdf["i"].iat[0] != pdf["j"].iat[0]
     for a, b, s in _tiles(pdf):
         for p, q, t in ((a, b, s), (b, a, s.T)) if mixed else ((a, b, s),):
-            t = np.where((t >= LINK) & (rank[q][None, :] < rank[p][:, None]), t, -2.0)
+            # four decimals are the same whatever the shape of a tile
+            t = np.where((t >= LINK) & (rank[q][None, :] < rank[p][:, None]), np.round(t, 4), -2.0)
             # the first of equal similarities in order of density
             by = np.argsort(rank[q], kind="stable")
             k = by[t[:, by].argmax(axis=1)]
@@ -196,11 +201,10 @@ def density_peaks(embeddings: DataFrame, dim: int = DIM) -> DataFrame:
     segments (itself included) at LINK and DENSE similarity, ``seal`` is the XOR of the marks of the linked.
     """
     segments = scratch_table(usable_vectors(embeddings, dim).withColumn("mark", F.xxhash64("segment_id")), "vectors")
-    reps = segments.groupBy("vec").agg(F.min("segment_id").alias("rep"), F.count("*").alias("weight"), F.bit_xor("mark").alias("mark"))
-    reps = scratch_table(reps, "representatives")
-    pivots = _pivots(reps)
+    pivots = _pivots(segments)
     if not len(pivots):
         return segments.select("segment_id", F.lit("").alias("peak"), F.lit("").alias("rep"), *[F.lit(0).cast("bigint").alias(k) for k in ("linked", "dense", "seal", "mark")])
+    reps = segments.groupBy("key").agg(F.min("segment_id").alias("rep"), F.count("*").alias("weight"), F.bit_xor("mark").alias("mark"), F.first("vec").alias("vec"))
     placed = scratch_table(_cells(reps, pivots), "cells")
     sizes = placed.groupBy("cell", "band").agg(F.count("*").alias("n"), F.max("angle").cast("double").alias("far")).collect()
     where, partners = _plan(sizes, pivots, LINK)
@@ -211,7 +215,7 @@ def density_peaks(embeddings: DataFrame, dim: int = DIM) -> DataFrame:
     own = placed.join(dens, "rep").where(F.col("linked") > F.col("weight")).select("rep", "vec", "dense", "cell", "band", "angle")
     paired = _pair_up(own, where, partners)
     up = paired.groupBy("i", "j").applyInPandas(_denser, "rep string, sim double, to_dense bigint, to string")
-    up = up.groupBy("rep").agg(F.max_by("to", F.struct("sim", "to_dense", F.lit(0))).alias("to"))
+    up = up.groupBy("rep").agg(F.min(F.struct((-F.col("sim")).alias("s"), (-F.col("to_dense")).alias("d"), "to"))["to"].alias("to"))
     links = cut(dens.join(up, "rep", "left").select("rep", F.coalesce("to", "rep").alias("to")))
     while True:
         nxt = links.alias("l").join(links.select(F.col("rep").alias("via"), F.col("to").alias("beyond")), F.col("to") == F.col("via"))
@@ -220,8 +224,8 @@ def density_peaks(embeddings: DataFrame, dim: int = DIM) -> DataFrame:
         links = nxt.select("rep", "to")
         if not moved:
             break
-    labelled = reps.select("vec", "rep").join(dens, "rep").join(links.withColumnRenamed("to", "peak"), "rep")
-    return segments.join(labelled, "vec").select("segment_id", "peak", "rep", "linked", "dense", "seal", "mark")
+    labelled = placed.select("key", "rep").join(dens, "rep").join(links.withColumnRenamed("to", "peak"), "rep")
+    return segments.select("segment_id", "key", "mark").join(labelled, "key").select("segment_id", "peak", "rep", "linked", "dense", "seal", "mark")
 
 
 def clusters(labelled: DataFrame, *, typical: int = 3, at_least: int = 1) -> DataFrame:

@@ -121,6 +121,19 @@ FROM facts f LEFT JOIN talk t ON t.chat_id = f.chat_id) WHERE reason IS NOT NULL
 FROM said s JOIN (SELECT f.chat_id, (SELECT min(turn_index) FROM said x WHERE x.chat_id = f.chat_id) AS lo FROM facts f LEFT JOIN talk t ON t.chat_id = f.chat_id
   WHERE texts AND NOT (n > places OR places <> span OR odd OR coalesce(early, false)) AND NOT coalesce(waits, false)) f ON f.chat_id = s.chat_id""",
     "p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p7_clusters": """
+WITH RECURSIVE u AS (SELECT segment_id, min(embedding)::DOUBLE[] AS e FROM segment_embeddings WHERE len(embedding) = 128 GROUP BY segment_id),
+v AS (SELECT segment_id, list_transform(e, lambda x: (x / sqrt(list_dot_product(e, e)))::FLOAT) AS e FROM u WHERE list_dot_product(e, e) > 0),
+r AS (SELECT e, min(segment_id) AS rep, count(*) AS weight FROM v GROUP BY e),
+s AS (SELECT a.rep AS a, b.rep AS b, b.weight AS w, CASE WHEN a.rep = b.rep THEN 1.0 ELSE list_dot_product(a.e::DOUBLE[], b.e::DOUBLE[]) END AS c FROM r a JOIN r b ON a.rep = b.rep OR list_dot_product(a.e::DOUBLE[], b.e::DOUBLE[]) >= 0.70),
+dn AS (SELECT a AS rep, sum(w) FILTER (WHERE c >= 0.75) AS dense FROM s GROUP BY a),
+up AS (SELECT a AS rep, b AS parent FROM (SELECT s.a, s.b, row_number() OVER (PARTITION BY s.a ORDER BY round(s.c, 4) DESC, y.dense DESC, s.b) AS k FROM s JOIN dn x ON x.rep = s.a JOIN dn y ON y.rep = s.b WHERE y.dense > x.dense OR (y.dense = x.dense AND s.b < s.a)) WHERE k = 1),
+walk(rep, here) AS (SELECT rep, rep FROM r UNION ALL SELECT w.rep, up.parent FROM walk w JOIN up ON up.rep = w.here),
+top AS (SELECT w.rep, w.here AS peak FROM walk w WHERE w.here NOT IN (SELECT rep FROM up)),
+lab AS (SELECT v.segment_id, t.peak, d.dense FROM v JOIN r ON r.e = v.e JOIN top t ON t.rep = r.rep JOIN dn d ON d.rep = r.rep)
+SELECT min(segment_id) AS first_segment_id, count(*) AS size, string_agg(segment_id, ' ' ORDER BY k) FILTER (WHERE k <= 3) AS typical
+FROM (SELECT *, row_number() OVER (PARTITION BY peak ORDER BY dense DESC, segment_id) AS k FROM lab) GROUP BY peak
+""",
     "p7_found": """
 WITH u AS (SELECT segment_id, min(embedding)::DOUBLE[] AS e FROM segment_embeddings WHERE len(embedding) = 128 GROUP BY segment_id),
 v AS (SELECT segment_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM u WHERE list_dot_product(e, e) > 0),
