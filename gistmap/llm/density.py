@@ -138,8 +138,8 @@ def _pair_up(rows: DataFrame, where: dict, partners: list[list[int]]) -> DataFra
     return rows.drop("partners", "first", "parts", "cell", "band", "angle").select("*", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"))
 
 
-def _tiles(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, columns, similarities) tiles of one pair of blocks, both ways round for a mixed pair."""
+def _links(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, columns, similarities) of the pairs of one pair of blocks that are linked, tile by tile, both ways round for a mixed pair."""
     i, j = pdf["i"].iat[0], pdf["j"].iat[0]
     x = _matrix(pdf["vec"])
     left = np.flatnonzero(pdf["block"].to_numpy() == i)
@@ -149,25 +149,29 @@ def _tiles(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         for to in range(0, len(right), TILE * 4):
             b = right[to : to + TILE * 4]
             s = x[a] @ x[b].T
+            u, v = np.nonzero(s >= LINK - SLACK)
+            sim = s[u, v]
+            p, q = a[u], b[v]
             for t in (LINK, DENSE):
-                for u, v in zip(*np.nonzero(np.abs(s - t) < SLACK)):
-                    exact = float(x[a[u]].astype(np.float64) @ x[b[v]].astype(np.float64))
-                    s[u, v] = t + 2 * SLACK if exact >= t else t - 2 * SLACK
-            yield a, b, s
+                close = np.flatnonzero(np.abs(sim - t) < SLACK)
+                exact = np.einsum("ij,ij->i", x[p[close]].astype(np.float64), x[q[close]].astype(np.float64))
+                sim[close] = np.where(exact >= t, t + 2 * SLACK, t - 2 * SLACK)
+            linked = sim >= LINK
+            p, q, sim = p[linked], q[linked], sim[linked]
+            yield p, q, sim
+            if i != j:
+                yield q, p, sim
 
 
 def _densities(pdf: pd.DataFrame) -> pd.DataFrame:
     n = len(pdf)
     weight, mark = pdf["weight"].to_numpy(), pdf["mark"].to_numpy()
     linked, dense, seal = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    mixed = pdf["i"].iat[0] != pdf["j"].iat[0]
-    for a, b, s in _tiles(pdf):
-        u, v = np.nonzero(s >= LINK)
-        close = s[u, v] >= DENSE
-        for p, q in ((a[u], b[v]), (b[v], a[u])) if mixed else ((a[u], b[v]),):
-            np.add.at(linked, p, weight[q])
-            np.add.at(dense, p[close], weight[q[close]])
-            np.bitwise_xor.at(seal, p, mark[q])
+    for p, q, sim in _links(pdf):
+        close = sim >= DENSE
+        np.add.at(linked, p, weight[q])
+        np.add.at(dense, p[close], weight[q[close]])
+        np.bitwise_xor.at(seal, p, mark[q])
     keep = linked > 0
     return pd.DataFrame({"rep": pdf["rep"][keep], "linked": linked[keep], "dense": dense[keep], "seal": seal[keep]})
 
@@ -178,20 +182,19 @@ def _denser(pdf: pd.DataFrame) -> pd.DataFrame:
     rank = np.empty(len(pdf), np.int64)
     rank[order] = np.arange(len(pdf))
     best, who = np.full(len(pdf), -2.0), np.full(len(pdf), -1)
-    mixed = pdf["i"].iat[0] != pdf["j"].iat[0]
-    for a, b, s in _tiles(pdf):
-        for p, q, t in ((a, b, s), (b, a, s.T)) if mixed else ((a, b, s),):
-            # four decimals are the same whatever the shape of a tile
-            t = np.where((t >= LINK) & (rank[q][None, :] < rank[p][:, None]), np.round(t, 4), -2.0)
-            # the first of equal similarities in order of density
-            by = np.argsort(rank[q], kind="stable")
-            k = by[t[:, by].argmax(axis=1)]
-            v = t[np.arange(len(p)), k]
-            better = v > best[p]
-            best[p[better]], who[p[better]] = v[better], q[k[better]]
+    for p, q, sim in _links(pdf):
+        up = rank[q] < rank[p]
+        # four decimals are the same whatever the shape of a tile
+        p, q, sim = p[up], q[up], np.round(sim[up].astype(np.float64), 4)
+        by = np.lexsort((rank[q], -sim, p))
+        p, q, sim = p[by], q[by], sim[by]
+        first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.zeros(0, int)
+        p, q, sim = p[first], q[first], sim[first]
+        better = (sim > best[p]) | ((sim == best[p]) & (who[p] >= 0) & (rank[q] < rank[who[p]]))
+        best[p[better]], who[p[better]] = sim[better], q[better]
     keep = who >= 0
     reps = pdf["rep"].to_numpy()
-    return pd.DataFrame({"rep": reps[keep], "sim": best[keep].astype(np.float64), "to_dense": pdf["dense"].to_numpy()[who[keep]], "to": reps[who[keep]]})
+    return pd.DataFrame({"rep": reps[keep], "sim": best[keep], "to_dense": pdf["dense"].to_numpy()[who[keep]], "to": reps[who[keep]]})
 
 
 def density_peaks(embeddings: DataFrame, dim: int = DIM) -> DataFrame:
