@@ -1,5 +1,7 @@
 """Conversations rebuilt from loose message rows, read as an event log.
 
+0. Where a table has the columns ``version`` (or ``event``), the rows of a message_id are its history: the highest version
+   counts (of equal ones the last to arrive), and a message whose last event is ``delete`` is gone.
 1. Retries fold: rows alike in chat, number, role, text and sending time are one message (its first arrival).
    The folded messages, without their texts, are written once and read by every later step.
 2. A message without number gets the free place its sending time points to. Only the ends of gapless
@@ -42,9 +44,21 @@ def is_said(text: Column) -> Column:
     return F.coalesce(F.regexp_replace(text, r"[\s\p{Z}\p{C}]+", "") != "", F.lit(False))
 
 
+def fold_versions(messages: DataFrame) -> DataFrame:
+    """The last state of every message of an event log; rows without message_id and tables without history stay as they are."""
+    version = F.col("version").cast("bigint") if "version" in messages.columns else None
+    event = F.lower(F.trim("event")) if "event" in messages.columns else None
+    if version is None and event is None:
+        return messages
+    order = F.struct(F.coalesce(version, F.lit(0)) if version is not None else F.lit(0), F.col("arrived_at"), F.xxhash64("text"))
+    known = messages.where(F.col("message_id").isNotNull()).groupBy("message_id").agg(F.max_by(F.struct(*messages.columns), order).alias("m")).select("m.*")
+    rows = known.unionByName(messages.where(F.col("message_id").isNull()))
+    return rows if event is None else rows.where(F.coalesce(event != "delete", F.lit(True)))
+
+
 def fold_retries(messages: DataFrame) -> DataFrame:
     """One row per message: (chat_id, turn_index, role, known, said, sent_at, key, message_id)."""
-    rows = messages.where(F.col("chat_id").isNotNull()).select(
+    rows = fold_versions(messages).where(F.col("chat_id").isNotNull()).select(
         "chat_id",
         F.col("turn_index").cast("bigint").alias("turn_index"),
         F.coalesce(uniform_role(F.col("role")), F.lit("?") if "role" not in messages.columns else F.concat(F.lit("?"), F.coalesce(F.col("role"), F.lit("")))).alias("role"),
