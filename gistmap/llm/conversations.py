@@ -202,4 +202,6 @@ def rebuilt_turns(messages: DataFrame) -> DataFrame:
     placed = place_unnumbered(folded_table(messages))
     kept = judge_chats(placed).where(F.col("reason").isNull()).select("chat_id", "first_turn")
     turns = placed.join(kept, "chat_id").select("chat_id", (F.col("turn_index") - F.col("first_turn")).alias("turn_index"), "role", "message_id")
-    return turns.join(messages.select("message_id", "text"), "message_id").select("chat_id", "turn_index", "role", "text", "message_id")
+    # a row that is there twice has its text once
+    texts = fold_versions(messages).select("message_id", "text").dropDuplicates(["message_id"])
+    return turns.join(texts, "message_id").select("chat_id", "turn_index", "role", "text", "message_id")

@@ -10,7 +10,7 @@ CALLS = {
     "p1": lambda t: pairs.found_defects(t["raw_entries"], t["conversations"]),
     "p2": lambda t: canonical.found_terms(t["segment_keywords"], t["canonical_terms"]),
     "p3": lambda t: markup.found_kinds(t["raw_entries"], t["conversations"]),
-    "p3_clean": lambda t: markup.cleaned(markup.source_texts(t["raw_entries"], t["conversations"])).select("origin", "record_key", "item", "clean"),
+    "p3_clean": lambda t: markup.cleaned(markup.source_texts(t["raw_entries"], t["conversations"])).select("origin", "record_key", "item", "clean").distinct(),
     "p5": lambda t: conversations.dropped_chats(t["chat_messages"]),
     "p5_turns": lambda t: conversations.rebuilt_turns(t["chat_messages"]),
     "p6": lambda t: termfreq.marked_terms(t["segment_keywords"]),
