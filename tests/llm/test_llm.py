@@ -230,6 +230,27 @@ def test_sealed_groups_and_peaks(spark):
     assert density.sealed_groups(density.density_peaks(df.limit(0))).count() == 0
 
 
+def test_shuffles_of_clusters_do_not_grow_with_the_pairs_of_blocks(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(700, 128))
+    vectors = np.concatenate([r.normal(size=(1_900, 128)), (centres[:, None] + r.normal(size=(700, 3, 128)) * 0.4).reshape(-1, 128)]).astype(np.float32)
+    rows = [(f"s{i:04d}", v.tolist()) for i, v in enumerate(vectors)] + [(f"t{i:04d}", vectors[i * 7].tolist()) for i in range(500)]
+    df = spark.createDataFrame(rows, "segment_id string, embedding array<float>")
+
+    def written():
+        every = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+    got = []
+    for block in (density.BLOCK, 100):
+        monkeypatch.setattr(density, "BLOCK", block)
+        before = written()
+        got.append(sorted(map(tuple, density.density_peaks(df).collect())))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        assert written() - before < 6 * vectors.nbytes
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+
+
 # --- packing ---
 
 
