@@ -19,6 +19,7 @@ makes no pair; a null answer is empty; repeated exports of a chat (same turns) g
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -56,10 +57,19 @@ def words(text: str) -> list[str]:
     return re.findall(r"[\w'’]+", text.lower())
 
 
-def normal_words(text: str) -> list[str]:
-    """Words without case, accents and punctuation."""
-    flat = "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
-    return re.findall(r"\w+", flat)
+_SPACE = re.compile(r"\s")
+
+
+def normal_words(text: str, most: float = math.inf) -> list[str]:
+    """Words without case, accents and punctuation; of a text of more than ``most`` words not all."""
+    out, at = [], 0
+    while at < len(text) and len(out) <= most:
+        # pieces end before a space, where neither words nor accents go on
+        space = _SPACE.search(text, at + 1_000)
+        piece, at = (text[at : space.start()], space.start()) if space else (text[at:], len(text))
+        flat = piece.lower() if piece.isascii() else "".join(c for c in unicodedata.normalize("NFKD", piece.casefold()) if not unicodedata.combining(c))
+        out += re.findall(r"\w+", flat)
+    return out
 
 
 def readable(text: str | None) -> bool:
@@ -67,54 +77,57 @@ def readable(text: str | None) -> bool:
     return any(unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "So" for c in text or "")
 
 
-_WORDS = re.compile(r"\w[\w\u0300-\u036f]*")
-
-
 def is_copy(prompt: str, answer: str) -> bool:
     """The prompt again: nothing added, at most a lost word (in eight) and changes of writing."""
-    # an answer of more words is none; the count stops there
-    most = len(_WORDS.findall(prompt)) + 4
-    if sum(1 for _ in zip(_WORDS.finditer(answer), range(most))) >= most:
-        return False
-    p, a = normal_words(prompt), normal_words(answer)
+    p = normal_words(prompt)
+    a = normal_words(answer, len(p) + 1)
     if not a or len(a) > len(p) + 1:
         return False
     lost = max(1, len(p) // 8)
     if len(a) < len(p) - lost - 1:
         return False
-    if p == a:
-        return True
-    if len(p) > ALIGNED:
-        return _follows(p, a, lost)
-    # align word by word; a word may be written differently (small edit), none may be new
-    prev = list(range(len(a) + 1))
-    for i, x in enumerate(p, 1):
-        row = [i]
-        for j, y in enumerate(a, 1):
-            same = x == y or (len(x) > 3 and _close(x, y))
-            row.append(min(prev[j] + 1, row[-1] + 3, prev[j - 1] + (0 if same else 3)))
-        prev = row
-    return prev[-1] <= lost
-
-
-#: Words up to which prompt and answer are aligned in full, and words lost at once that are looked over in longer ones.
-ALIGNED, AHEAD = 300, 64
-
-
-def _follows(p: list[str], a: list[str], lost: int) -> bool:
-    """Whether a long answer follows the prompt word by word with at most ``lost`` words lost; linear in the words."""
-    at = 0
-    for y in a:
-        k = next((i for i in range(at, min(at + AHEAD, len(p))) if p[i] == y or (len(y) > 3 and _close(p[i], y))), None)
-        if k is None:
-            lost -= 3
-            at += 1
-        else:
-            lost -= k - at
-            at = k + 1
-        if lost < 0:
+    return p == a or _aligned(p, a, lost)
+
+
+def _aligned(p: list[str], a: list[str], lost: int) -> bool:
+    """Whether the words ``p`` become ``a`` at a cost of at most ``lost``: a lost word costs 1, a new or another one 3 (before
+    the first word 1), one written differently (small edit) nothing.
+
+    Costs never fall along a diagonal (a number of words lost less words new), so it is enough to know for each cost how far
+    every diagonal reaches. The result is that of the full table at any length; the time is that of the words and of the
+    square of ``lost``.
+    """
+    known = set(p)
+    strange = [y for y in a if y not in known]
+    if len(strange) > lost:
+        # words of which the prompt has none alike cost at least 1 each
+        alike = set().union(*map(_shortened, known))
+        if sum(alike.isdisjoint(_shortened(y)) for y in strange) > lost:
             return False
-    return len(p) - at <= lost
+    n, m = len(p), len(a)
+    end = n - m
+    reach: list[dict[int, int]] = [{}, {}, {}]
+    for cost in range(lost + 1):
+        three, one, now = reach[-3], reach[-1], {}
+        left = lost - cost
+        # only diagonals from which what is left suffices for the last one
+        for k in range(max(-cost, end - left), min(cost, end + left // 3) + 1):
+            i = max(one.get(k, -1), one.get(k - 1, -2) + 1, three.get(k + 1, -1), three.get(k, -2) + 1, 0 if k == -cost else -1)
+            i = min(i, n, m + k)
+            if i < 0:
+                continue
+            while i < n and i - k < m and (p[i] == a[i - k] or (len(p[i]) > 3 and _close(p[i], a[i - k]))):
+                i += 1
+            now[k] = i
+        if now.get(end) == n:
+            return True
+        reach = [*reach[1:], now]
+    return False
+
+
+def _shortened(x: str) -> set[str]:
+    """The word and what is left of it without one letter: words at most one edit or swap apart have one of these in common."""
+    return {x, *(x[:i] + x[i + 1 :] for i in range(len(x)))}
 
 
 def _close(x: str, y: str) -> bool:

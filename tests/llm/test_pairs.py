@@ -55,6 +55,46 @@ def test_long_answers_are_no_copies_whatever_their_length():
     assert pairs.is_copy("Why is it so? " * 200, "WHY IS IT SO! " * 200)
 
 
+def full_table(p, a, lost):
+    prev = list(range(len(a) + 1))
+    for i, x in enumerate(p, 1):
+        row = [i]
+        for j, y in enumerate(a, 1):
+            same = x == y or (len(x) > 3 and pairs._close(x, y))
+            row.append(min(prev[j] + 1, row[-1] + 3, prev[j - 1] + (0 if same else 3)))
+        prev = row
+    return prev[-1] <= lost
+
+
+def test_copies_are_told_by_one_rule_at_any_length():
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(6, 10)))
+    text = [word() for _ in range(800)]
+    assert pairs.is_copy(" ".join(text), " ".join(text[:300] + text[370:]))
+    assert pairs.is_copy(" ".join(text), " ".join(text[100:]))
+    assert not pairs.is_copy(" ".join(text), " ".join(text[101:]))
+    assert not pairs.is_copy(" ".join(text), " ".join(r.sample(text, 800)))
+    assert pairs.is_copy("Add ½ cup, ½ spoon, ½ tin, ½ jar and ½ bag.", "Add 1/2 cup, 1/2 spoon, 1/2 tin, 1/2 jar and 1/2 bag.".replace("/", "⁄"))
+
+
+def test_alignment_equals_the_full_table():
+    r = random.Random(9)
+    few = ["the", "a", "lamp", "lamps", "clamp", "tree", "three", "is", "it", "plum"]
+    seen = {True: 0, False: 0}
+    for n in [r.randint(0, 40) for _ in range(1_500)] + [320, 330, 340, 350] * 3:
+        p = [r.choice(few) for _ in range(n)]
+        a = [w for w in p if r.random() > r.choice((0, 0.05, 0.15))]
+        for _ in range(r.randint(0, 1 + n // 20)):
+            at = r.randint(0, len(a))
+            a[at : at + r.randint(0, 1)] = [r.choice(few)]
+        lost = max(1, n // 8)
+        if a and len(p) - lost - 1 <= len(a) <= len(p) + 1:
+            want = full_table(p, a, lost)
+            seen[want] += 1
+            assert pairs._aligned(p, a, lost) == want, (p, a)
+    assert min(seen.values()) > 100
+
+
 def test_prefix_counts_equal_brute_force(spark):
     r = random.Random(4)
     words = ["sun", "sunny", "sand", "on", "only", "x", "9", "éa"]
