@@ -23,15 +23,25 @@ from gistmap.runtime import spread
 DIM = 256
 
 
+@lru_cache(maxsize=50_000)
+def _parts(word: str) -> list[str]:
+    """What is counted of a word: itself and its letter trigrams."""
+    padded = f" {word} "
+    return [word, *(padded[i : i + 3] for i in range(len(padded) - 2))]
+
+
+@lru_cache(maxsize=100_000)
+def _hash(part: str) -> int:
+    return zlib.crc32(part.encode())
+
+
 def hashed_vector(text: str | None, dim: int = DIM) -> list[float]:
     counts: Counter[str] = Counter()
     for w in re.findall(r"\w+", (text or "").lower()):
-        counts[w] += 1
-        padded = f" {w} "
-        counts.update(padded[i : i + 3] for i in range(len(padded) - 2))
+        counts.update(_parts(w))
     v = [0.0] * dim
     for k, n in counts.items():
-        h = zlib.crc32(k.encode())
+        h = _hash(k)
         v[h % dim] += (1 + math.log(n)) * (1 if h >> 16 & 1 else -1)
     size = math.sqrt(sum(x * x for x in v))
     return [x / size for x in v] if size else v

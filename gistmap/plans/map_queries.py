@@ -10,7 +10,7 @@ from gistmap.functions import timestamps
 from gistmap.operators import segmentation as S
 from gistmap.operators import sources as SRC
 from gistmap.operators.turns import SQL, WS, load
-from gistmap.runtime import scratch_table, spread, table
+from gistmap.runtime import spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -395,12 +395,9 @@ def win_core_label(spark, d):
 @query()
 def ml_segment_all(spark, d):
     """Segments of all conversations, with hashed text vectors of the windows."""
-    from gistmap.operators.embedding import embed_texts
+    from gistmap.operators.embedding import hashed_vector
 
-    t = load(spark, d)["turns"]
-    # boundaries read the vectors several times: encode them once
-    w = scratch_table(embed_texts(S.sliding_texts(t, 2), "text").select("chat_id", "i", "v"), "windows")
-    return S.segment_chats(t, w)
+    return S.segment_turns(load(spark, d)["turns"], hashed_vector)
 
 
 @query("SELECT label, k, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS k FROM embeddings) GROUP BY ALL")

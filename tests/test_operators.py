@@ -209,3 +209,16 @@ def test_every_component_of_a_mixture_counts(spark):
     parts = spark.createDataFrame([(i, 1 / 130, float(i), 0.0, 9.0, 0.0, 9.0) for i in range(130)], "component int, weight double, mx double, my double, cxx double, cxy double, cyy double")
     point = spark.createDataFrame([(1, 0.0, 0.0)], "id int, x double, y double")
     assert V.responsibilities(point, parts).count() == 130
+
+
+def test_segments_of_texts_store_no_vectors(spark, small):
+    from gistmap.operators.embedding import embed_texts, hashed_vector
+    from gistmap.operators.turns import load
+    from gistmap.plans.map_queries import ml_segment_all
+
+    t = load(spark, small)["turns"]
+    windows = embed_texts(S.sliding_texts(t, 2), "text").select("chat_id", "i", "v")
+    got = S.segment_turns(t, hashed_vector)
+    assert sorted(got.collect(), key=str) == sorted(S.segment_chats(t, windows).collect(), key=str)
+    # many shuffles by one key in one plan let adaptive execution join parts of different numbers
+    assert str(ml_segment_all(spark, small)._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning") <= 6
