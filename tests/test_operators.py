@@ -222,3 +222,10 @@ def test_segments_of_texts_store_no_vectors(spark, small):
     assert sorted(got.collect(), key=str) == sorted(S.segment_chats(t, windows).collect(), key=str)
     # many shuffles by one key in one plan let adaptive execution join parts of different numbers
     assert str(ml_segment_all(spark, small)._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning") <= 6
+
+
+def test_communities_have_no_row_limit():
+    n = algos.MAX_ROWS + 1_000
+    edges = [(at + i, at + j) for at in range(0, n, 4) for i in range(4) for j in range(i)]
+    label = algos.leiden_cpm(n, edges, 0.2)
+    assert (np.bincount(label) == 4).all() and (label.reshape(-1, 4) == label.reshape(-1, 4)[:, :1]).all()
