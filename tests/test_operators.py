@@ -229,3 +229,23 @@ def test_communities_have_no_row_limit():
     edges = [(at + i, at + j) for at in range(0, n, 4) for i in range(4) for j in range(i)]
     label = algos.leiden_cpm(n, edges, 0.2)
     assert (np.bincount(label) == 4).all() and (label.reshape(-1, 4) == label.reshape(-1, 4)[:, :1]).all()
+
+
+def test_spring_layout_needs_no_matrix():
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    n, edges = 1_500, [(i, (i * 7 + 1) % 1_500, 1.5) for i in range(1_499)]
+    tracemalloc.start()
+    got = algos.spring_layout(n, edges, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * n * n / 2
+    pos = np.random.default_rng(42).random((n, 2))
+    adj = np.zeros((n, n))
+    for a, b, w in edges:
+        adj[a, b] = adj[b, a] = w
+    for i in r.integers(0, n, 20):
+        d = np.maximum(0.01, np.hypot(*(pos[i] - pos).T))
+        force = ((pos[i] - pos) * (1 / n / d**2 - adj[i] * d * math.sqrt(n))[:, None]).sum(0)
+        assert np.allclose(got[i], pos[i] + force * 0.1 / max(0.01, np.hypot(*force)))
