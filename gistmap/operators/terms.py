@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -280,17 +281,26 @@ def detect_phrases(turns: DataFrame, stop: list[str], c: Phrases = Phrases()) ->
 def mmr_order(terms: list[str], relevance: np.ndarray, vectors: np.ndarray, k: int, lam: float, hard: float) -> list[int]:
     """Greedy maximal marginal relevance; terms sharing half their words exclude each other as far as possible."""
     bags = [set(t.lower().split()) for t in terms]
+    of: dict[str, list[int]] = {}
+    for i, bag in enumerate(bags):
+        for w in bag:
+            of.setdefault(w, []).append(i)
     chosen: list[int] = []
     penalty = np.zeros(len(terms))
     while len(chosen) < min(k, len(terms)):
         score = relevance.astype(float) if not chosen else lam * relevance - (1 - lam) * penalty
-        score = np.where(np.isin(np.arange(len(terms)), chosen), -np.inf, score)
+        score[chosen] = -np.inf
         at = int(score.argmax())
         chosen.append(at)
-        cos = vectors @ vectors[at]
-        for i, bag in enumerate(bags):
-            share = len(bag & bags[at]) / max(1, len(bag | bags[at]))
-            penalty[i] = max(penalty[i], 1.0 if share >= hard else max(float(cos[i]), share))
+        # only terms with a word in common share any (without words: nothing)
+        near = vectors @ vectors[at]
+        if hard <= 0:
+            near[:] = 1.0
+        for i in {i for w in bags[at] for i in of[w]}:
+            share = len(bags[i] & bags[at]) / len(bags[i] | bags[at])
+            near[i] = 1.0 if share >= hard else max(float(near[i]), share)
+        near = np.maximum(near, 0.0)
+        penalty = np.maximum(penalty, near)
     return chosen
 
 
@@ -309,6 +319,30 @@ def rank_by_mmr(candidates: DataFrame, c: Keywords = Keywords()) -> DataFrame:
     return candidates.select("segment_id", "term", "relevance", "v", "pos").groupBy("segment_id").applyInPandas(run, "segment_id string, pos int, term string, score double")
 
 
+def rank_texts(texts: DataFrame, found: DataFrame, c: Keywords = Keywords(), prune: bool = False) -> DataFrame:
+    """(segment_id, pos, term, score): ``rank_by_mmr`` of the candidates ``found`` (segment_id, term) by their likeness to the text of their segment,
+    with hashed vectors; with ``prune`` without terms contained in another chosen one. Vectors are made where they are used: only texts and terms are shuffled."""
+    from gistmap.operators.embedding import hashed_vector
+
+    def run(batches):
+        memory = lru_cache(maxsize=20_000)(lambda t: np.array(hashed_vector(t)))
+        for pdf in batches:
+            out = []
+            for segment, text, terms in zip(pdf["segment_id"], pdf["text"], pdf["terms"]):
+                terms = list(terms)
+                v = np.stack([memory(t) for t in terms])
+                # added in the order of the components, as ``dot`` does
+                relevance = np.round(np.cumsum(np.array(hashed_vector(text)) * v, axis=1)[:, -1], 9)
+                picked = mmr_order(terms, relevance, v, c.top_k, c.mmr_lambda, c.jaccard_hard)
+                picked.sort(key=lambda i: -relevance[i])
+                chosen = [terms[i] for i in picked]
+                out += [(segment, at, terms[i], float(relevance[i])) for at, i in enumerate(picked) if not (prune and any(terms[i] != t and terms[i] in t for t in chosen))]
+            yield pd.DataFrame(out, columns=["segment_id", "pos", "term", "score"])
+
+    lists = found.groupBy("segment_id").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    return texts.join(lists, "segment_id").select("segment_id", "text", "terms").mapInPandas(run, "segment_id string, pos int, term string, score double")
+
+
 # Marks of names of people and organisations.
 _TITLE = r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?"
 _KIND = r"(?:Inc|Ltd|LLC|Corp|GmbH|AG|University|Institute|Foundation|Company|Group|Bank|Museum|Council)"

@@ -10,7 +10,7 @@ from gistmap.functions import text as X
 from gistmap.operators import graph as G
 from gistmap.operators import terms as K
 from gistmap.operators.turns import SQL, load
-from gistmap.runtime import table, width
+from gistmap.runtime import scratch_table, table, width
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -643,22 +643,16 @@ def ml_candidates(spark, d):
     return K.candidates(_segment_texts(spark, d))
 
 
-def _ranked(spark, d) -> DataFrame:
-    from gistmap.operators.embedding import embed_texts
-
-    texts = _segment_texts(spark, d)
-    cand = K.candidates(texts)
-    # each distinct term is encoded once
-    vec = embed_texts(cand.select("term").distinct(), "term", "v")
-    seg = embed_texts(texts, "text", "u").select("segment_id", "u")
-    j = cand.join(vec, "term").join(seg, "segment_id").select("segment_id", "term", "v", F.round(X.dot(F.col("u"), F.col("v")), 9).alias("relevance"))
-    return K.rank_by_mmr(j.withColumn("pos", F.row_number().over(Window.partitionBy("segment_id").orderBy("term"))))
+def _ranked(spark, d, prune: bool = False) -> DataFrame:
+    # candidates read the written texts, which have no partitioning: a union of two parts shuffled alike may fail when one is coalesced
+    texts = scratch_table(_segment_texts(spark, d), "segment_texts")
+    return K.rank_texts(texts.repartition(width(spark), "segment_id"), K.candidates(texts), prune=prune)
 
 
 @query()
 def ml_rank(spark, d):
     """Keywords of every segment: candidates, diverse choice, contained terms dropped, by score."""
-    return K.prune_substrings(_ranked(spark, d)).select("segment_id", "pos", "term", F.round("score", 6).alias("score"))
+    return _ranked(spark, d, prune=True).select("segment_id", "pos", "term", F.round("score", 6).alias("score"))
 
 
 @query()

@@ -249,3 +249,20 @@ def test_spring_layout_needs_no_matrix():
         d = np.maximum(0.01, np.hypot(*(pos[i] - pos).T))
         force = ((pos[i] - pos) * (1 / n / d**2 - adj[i] * d * math.sqrt(n))[:, None]).sum(0)
         assert np.allclose(got[i], pos[i] + force * 0.1 / max(0.01, np.hypot(*force)))
+
+
+def test_ranking_shuffles_no_vectors(spark, small):
+    from pyspark.sql import Window
+
+    from gistmap.operators.embedding import embed_texts
+    from gistmap.plans.term_queries import ml_rank
+
+    texts = spark.createDataFrame([("a", "heap sort and heap memory of a sorted list"), ("b", "party time, birthday party")], "segment_id string, text string")
+    found = spark.createDataFrame([("a", t) for t in ("heap", "heap sort", "sorted list", "memory", "tea")] + [("b", "party"), ("b", "birthday party"), ("b", "art")], "segment_id string, term string")
+    j = embed_texts(found, "term", "v").join(embed_texts(texts, "text", "u"), "segment_id")
+    j = j.select("segment_id", "term", "v", F.round(X.dot(F.col("u"), F.col("v")), 9).alias("relevance"), F.row_number().over(Window.partitionBy("segment_id").orderBy("term")).alias("pos"))
+    want = K.rank_by_mmr(j)
+    assert sorted(K.rank_texts(texts, found).collect()) == sorted(want.collect())
+    assert sorted(K.rank_texts(texts, found, prune=True).collect()) == sorted(K.prune_substrings(want).collect())
+    plan = str(ml_rank(spark, small)._jdf.queryExecution().executedPlan())
+    assert plan.count("MapInPandas") == 1 and "FlatMapGroupsInPandas" not in plan and "ArrowEvalPython" not in plan
